@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_substring_dedup": op1_substring_dedup}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
+}
 
 ORACLES: dict[str, str] = {}
