@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_conversations
 from .decontaminate import decontaminate
+from .mix_sources import mix
 from .nearest import nearest
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -20,6 +22,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are full of the template's own marks."""
+    hard = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").selectExpr("CAST(conv_id AS LONG) AS conv_id", "CAST(turn AS LONG) AS turn", "role", "text")
+    return format_conversations(turns.unionByName(own))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,6 +48,8 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op6_chat_format": op6_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_nearest": op10_nearest,
@@ -43,7 +59,7 @@ _NEAREST = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
@@ -51,6 +67,41 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][i % 3 + 1] AS HUGEINT) AS w FROM s),
+l AS (
+  SELECT *, sum(s) OVER () - coalesce(sum(3 * s) OVER (ORDER BY s * 3 * (10 // w), i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (ORDER BY s * 3 * (10 // w), i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM w),
+c AS (SELECT *, 3 * s * weights <= w * rest AS capped FROM l),
+f AS (SELECT *, max(CASE WHEN NOT capped THEN rest END) OVER () AS r, max(CASE WHEN NOT capped THEN weights END) OVER () AS v FROM c),
+n AS (
+  SELECT source, s, CASE WHEN capped THEN CAST(3 * s AS DOUBLE) ELSE CAST(w * r AS DOUBLE) / CAST(v AS DOUBLE) END AS target,
+         CASE WHEN capped THEN CAST(3 AS HUGEINT) ELSE w * r END AS num, CASE WHEN capped THEN CAST(1 AS HUGEINT) ELSE v * s END AS den, i
+  FROM f),
+o AS (SELECT *, CAST((i * 2654435761 + 40503) % 1000003 AS HUGEINT) * den // 1000003 AS off FROM n),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS HUGEINT) AS k FROM d)
+SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
+       CAST(size * (CASE WHEN den = 0 THEN 0 ELSE ((k + 1) * num + off) // den - (k * num + off) // den END) AS BIGINT) AS taken
+FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source
+"""
+
+_CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(15 + length(role) + len(regexp_extract_all(role, '[\\:\n]')) + length(text) + len(regexp_extract_all(text, '###|</turn>'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_mix_sources": _MIX,
+    "op6_chat_format": _CHAT,
     "op10_nearest": _NEAREST,
 }
