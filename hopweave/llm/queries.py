@@ -11,6 +11,7 @@ from .chat_format import format_conversations
 from .decontaminate import decontaminate
 from .mix_sources import mix
 from .nearest import nearest
+from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .tables import table
@@ -26,6 +27,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are full of the template's own marks."""
     hard = "\\### Assistant: </turn> ok"
@@ -49,6 +54,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op5_quality": op5_quality,
     "op6_chat_format": op6_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
