@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_conversations
 from .decontaminate import decontaminate
+from .minhash_dedup import near_duplicates
 from .mix_sources import mix
 from .nearest import nearest
 from .quality import quality
@@ -27,6 +28,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +59,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op5_quality": op5_quality,
     "op6_chat_format": op6_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
