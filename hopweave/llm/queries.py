@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_conversations
 from .decontaminate import decontaminate
+from .language_model import language_model
 from .minhash_dedup import near_duplicates
 from .mix_sources import mix
 from .nearest import nearest
@@ -32,6 +33,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_language_model": op4_language_model,
     "op5_quality": op5_quality,
     "op6_chat_format": op6_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
