@@ -30,6 +30,8 @@ from .textcore import ALNUM, U64, Chunk, as_bytes, chunks, merged
 WINDOW = 10
 #: Bytes of item texts in one automaton; more items make more automata, not a larger one.
 BLOCK_BYTES = 32 << 20
+#: A document of which more than this share of words is hit goes as a whole, where texts are cleaned.
+COVERAGE = 0.5
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -186,6 +188,14 @@ class Matcher:
                 yield at, hi - lo, first, last, sorted(items), c, lo
 
 
+    @staticmethod
+    def cut(text: bytes, first: np.ndarray, last: np.ndarray, c: Chunk, lo: int, at: int) -> bytes:
+        """The text without the words first to last."""
+        base = c.lo[np.searchsorted(c.rows, at)]
+        ends = [0, *(c.end[lo + last - 1] - base).tolist()]
+        return b"".join(text[a:b] for a, b in zip(ends, [*(c.start[lo + first] - base).tolist(), len(text)], strict=True))
+
+
 def _row(doc, words: int, first: np.ndarray, last: np.ndarray, items: list[int]) -> tuple:
     hit, named = int((last - first).sum()), sorted(map(str, items))
     return doc, words, hit, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), hit > 0
@@ -240,16 +250,14 @@ def _cleaned(shared):
             for at, n, first, last, _, c, lo in matcher.documents(texts):
                 text = texts[at]
                 if len(first):
-                    base = c.lo[np.searchsorted(c.rows, at)]
-                    ends = [0, *(c.end[lo + last - 1] - base).tolist()]
-                    text = b"".join(text[a:b] for a, b in zip(ends, [*(c.start[lo + first] - base).tolist(), len(text)], strict=True))
+                    text = matcher.cut(text, first, last, c, lo, at)
                 rows.append((ids[at], None if text is None else text.decode(), n, int((last - first).sum())))
             yield _batch(rows, _CLEAN)
 
     return run
 
 
-def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[list[Items]]:
+def blocks_of(items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Items]]:
     """Automata of at most block_bytes of texts each (or of one item); the driver holds one block at a time."""
     held, size = [], 0
     for r in items.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
@@ -268,7 +276,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     With one block of items, documents stream through it once; with more, each block's hits are kept and united.
     """
     spark = docs.sparkSession
-    blocks = _blocks(items, window, block_bytes)
+    blocks = blocks_of(items, window, block_bytes)
     one, two = next(blocks), next(blocks, None)
     if two is None:
         return docs.select("doc_id", "text").mapInArrow(_reported(spark.sparkContext.broadcast(one)), OUT)
@@ -286,7 +294,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text without the spans of hit words, n_words and n_hit (before). Items of several blocks are taken out one block after another."""
     spark, out = docs.sparkSession, None
-    for block in _blocks(items, window, block_bytes):
+    for block in blocks_of(items, window, block_bytes):
         shared = spark.sparkContext.broadcast(block)
         out = (docs if out is None else out).select("doc_id", "text").mapInArrow(_cleaned(shared), "doc_id long, text string, n_words long, n_hit long")
     return out

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import kept
 from .textcore import as_bytes, chunks
@@ -34,13 +35,20 @@ STEP, SEED, PRIME = 2654435761, 40503, 1000003
 BIG = "decimal(38,0)"
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = np.zeros(batch.num_rows, dtype=np.int64)
-        for c in chunks(as_bytes(batch.column("text"))):
-            c.words()
-            n[c.rows] = c.last - c.first
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n)], ["doc_id", "source", "size"])
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size (words of the text), and the columns `more`, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.zeros(batch.num_rows, dtype=np.int64)
+            for c in chunks(as_bytes(batch.column("text"))):
+                c.words()
+                n[c.rows] = c.last - c.first
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "source", *more)), pa.array(n)], ["doc_id", "source", *more, "size"])
+
+    rows = docs.select("doc_id", "source", *more, "text")
+    fields = [rows.schema[k] for k in ("doc_id", "source", *more)]
+    return kept(rows.mapInArrow(run, T.StructType([*fields, T.StructField("size", T.LongType())])), "sizes")[0]
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -69,11 +77,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """How often each document is taken: doc_id, source, size, source_size, target, copies, taken."""
-    sizes, _ = kept(docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long"), "sizes")
-    return mix_sized(sizes, weights, most)
+    return mix_sized(sized(docs), weights, most)
 
 
 def mix_sized(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix of rows (doc_id, source, size); other columns are carried along."""
     spark = sizes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["source", "size", "doc_id"]
@@ -86,4 +94,5 @@ def mix_sized(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     runs, _ = kept(runs.join(goals, ["none", "name"]), "runs")
     rank = ordered.join(runs, ["none", "name", "part"]).withColumn("rank", F.expr(f"CAST(place - from + before AS {BIG})"))
     passed = F.expr("CASE WHEN den = 0 THEN 0L ELSE ((rank + 1) * num + off) div den - (rank * num + off) div den END")
-    return rank.select("doc_id", "source", "size", "source_size", "target", passed.alias("copies")).withColumn("taken", F.expr("size * copies"))
+    more = [c for c in sizes.columns if c not in order]
+    return rank.select("doc_id", "source", *more, "size", "source_size", "target", passed.alias("copies")).withColumn("taken", F.expr("size * copies"))

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .textcore import BYTE, BYTES_BASE, U64, Chunk, Rolling, as_bytes, chunks
 
 BITS, RANK, TRAIN_ROWS, EPOCHS = 17, 8, 8000, 8
+#: Few examples are gone over more often, until there are so many steps.
+STEPS = 600
 STATS = 16
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -114,9 +116,11 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.
     gw, gv, g0 = np.full(size, 1e-2, np.float32), np.full((size, RANK), 1e-2, np.float32), 1e-2
     dense = m.standard(stats).astype(np.float32)
     tail = np.arange(1 << BITS, size)
+    per_epoch = max(1, len(examples) // 32)
+    epochs = max(epochs, -(-STEPS // per_epoch))
     for epoch in range(epochs):
-        rate = 0.1 / (1 + 0.3 * epoch)
-        for batch in np.array_split(r.permutation(len(examples)), max(1, len(examples) // 32)):
+        rate = 0.1 / (1 + 2.4 * epoch / epochs)
+        for batch in np.array_split(r.permutation(len(examples)), per_epoch):
             idx = np.concatenate([np.r_[examples[i][0], tail] for i in batch])
             x = np.concatenate([np.r_[examples[i][1], dense[i]] for i in batch]).astype(np.float32)
             per = np.array([len(examples[i][0]) + STATS for i in batch])
