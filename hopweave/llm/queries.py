@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations
 from .decontaminate import decontaminate
 from .language_model import language_model
+from .license_scan import license_scan
 from .minhash_dedup import near_duplicates
 from .mix_sources import mix
 from .nearest import nearest
@@ -49,6 +50,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(turns.unionByName(own))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op4_language_model": op4_language_model,
     "op5_quality": op5_quality,
     "op6_chat_format": op6_chat_format,
+    "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_nearest": op10_nearest,
