@@ -146,11 +146,11 @@ def _(spark, sf):
     return parents(near, g.edges)
 
 
-@query("unbounded_distances", with_sql(EV, near_sql("c", "SELECT vid AS key, vid FROM ev_v WHERE vid NOT IN (SELECT dst FROM ev_e)", "ev_e", 1 << 30), select="SELECT key, vid, d FROM c"))
+#: From a nation everything is within 12: 2 to a customer, 1 to an order, at most 7 and 3 to a part and a supplier, less by other ways.
+@query("unbounded_distances", with_sql(TR, near_sql("c", "SELECT vid AS key, vid FROM tr_v WHERE label = 4", "tr_e", 12), select="SELECT key, vid, d FROM c"))
 def _(spark, sf):
-    g = events_graph(spark, sf)
-    first = g.vertices.join(g.edges.selectExpr("dst AS vid"), "vid", "left_anti")
-    return all_distances(first.select(F.col("vid").alias("key"), "vid"), g.edges)
+    g = trade_graph(spark, sf)
+    return all_distances(g.labeled(4, 4).select(F.col("vid").alias("key"), "vid"), g.edges)
 
 
 # --- relations ---
@@ -460,14 +460,10 @@ def _(spark, sf):
     return topology.strong_components(edges.unionByName(back))
 
 
-@query("scc_of_trade_graph")
-def _(spark, sf):
-    return topology.strong_components(trade_graph(spark, sf).edges)
-
-
-@query("topological_level", with_sql(EV, "lv(vid, level) AS (SELECT vid, 0 FROM ev_v WHERE vid NOT IN (SELECT dst FROM ev_e) UNION ALL SELECT e.dst, l.level + 1 FROM lv l JOIN ev_e e ON e.src = l.vid)", select="SELECT vid, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY vid"))
+#: Without the edges from nations the trade graph has no cycle.
+@query("topological_level", with_sql(TR, "ac AS (SELECT src, dst FROM tr_e WHERE src % 8 <> 4), lv(vid, level) AS (SELECT DISTINCT src, 0 FROM ac WHERE src NOT IN (SELECT dst FROM ac) UNION SELECT e.dst, l.level + 1 FROM lv l JOIN ac e ON e.src = l.vid)", select="SELECT vid, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY vid"))
 def _(spark, sf):
-    return topology.topological_levels(events_graph(spark, sf).edges)
+    return topology.topological_levels(trade_graph(spark, sf).edges.where("src % 8 <> 4"))
 
 
 @query("transitive_closure", with_sql(EV, "tc(src, dst) AS (SELECT src, dst FROM ev_e UNION SELECT t.src, e.dst FROM tc t JOIN ev_e e ON e.src = t.dst)", select="SELECT src, dst FROM tc"))
