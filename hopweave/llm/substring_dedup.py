@@ -59,9 +59,15 @@ def index_blocks(window: int = WINDOW, gram: int = GRAM) -> Callable[[Iterator[p
                 full = np.flatnonzero(c.last > c.first)
                 d = full[c.owner(a, c.first[full])]
                 ctx = mix(roll.runs(a, b + window) ^ ((at - a).astype(U64) << U64(32)) ^ (b - a).astype(U64))
+                h = grams[at]
+                # blocks that follow each other and are the same, as in texts that repeat a few words, are one row
+                new = np.ones(len(a), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (d[1:] != d[:-1]) | (a[1:] != b[:-1] + 1)
+                first = np.flatnonzero(new)
+                h, ctx, d, a, b = h[first], ctx[first], d[first], a[first], b[np.r_[first[1:] - 1, len(b) - 1]]
                 row = c.rows[d]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (grams[at].view(np.int64), ctx.view(np.int64), ids[row], tks[row], (a - c.first[d]).astype(np.int32), (b - a + 1).astype(np.int32))],
+                    [pa.array(x) for x in (h.view(np.int64), ctx.view(np.int64), ids[row], tks[row], (a - c.first[d]).astype(np.int32), (b - a + 1).astype(np.int32))],
                     ["h", "ctx", "doc_id", "tk", "at", "n"],
                 )
 
