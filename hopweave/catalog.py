@@ -301,11 +301,11 @@ _DIRECTED = [TR, "tr_b AS (SELECT dst AS src, src AS dst, w FROM tr_e)", _SETS,
 _BOTH = [TR, _SETS, near_sql("em", "SELECT key, vid FROM sets", "tr_u", CUT), _VEC_JOIN]
 _LINF = "list_max(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))"
 _ONE = "greatest(list_max(list_transform(list_zip({a}, {b}), lambda p: p[1] - p[2])), 0)"
-_NEAR_ENDS = " OR ".join(f"a.label = {i} AND b.label = {j}" for i, j in NEAR)
+_NEAR_ENDS = "(VALUES " + ", ".join(f"({i}, {j})" for i, j in NEAR) + ") n(i, j)"
 
 
 def _band_sql(bound: str, delta: int) -> str:
-    return f"band AS MATERIALIZED (SELECT a.label AS i, b.label AS j, a.vid AS x, b.vid AS y FROM vec a JOIN vec b ON ({_NEAR_ENDS}) AND {bound.format(a='a.v', b='b.v')} <= {delta})"
+    return f"band AS MATERIALIZED (SELECT n.i, n.j, a.vid AS x, b.vid AS y FROM {_NEAR_ENDS} JOIN vec a ON a.label = n.i JOIN vec b ON b.label = n.j WHERE {bound.format(a='a.v', b='b.v')} <= {delta})"
 
 
 def _vectors(spark, sf, directed: bool):
@@ -394,7 +394,7 @@ def _(spark, sf):
 
 
 _U_NEAR = near_sql("uc", "SELECT vid AS key, vid FROM tr_v WHERE label IN (3, 4)", "tr_u", 2)
-_WITHIN = f"SELECT a.label AS i, b.label AS j, c.key AS x, c.vid AS y FROM uc c JOIN tr_v a ON a.vid = c.key JOIN tr_v b ON b.vid = c.vid WHERE {_NEAR_ENDS}"
+_WITHIN = f"SELECT n.i, n.j, c.key AS x, c.vid AS y FROM uc c JOIN tr_v a ON a.vid = c.key JOIN tr_v b ON b.vid = c.vid JOIN {_NEAR_ENDS} ON a.label = n.i AND b.label = n.j"
 
 
 @query("verified_candidates", with_sql(TR, _U_NEAR, select=_WITHIN))
@@ -427,7 +427,7 @@ def _(spark, sf):
 
 
 _CLUSTER_PAIRS = f"""cl AS (SELECT label, c, max(dist) AS r, any_value(m.v) AS v FROM mem JOIN (SELECT vid, v FROM vec) m ON m.vid = mem.c GROUP BY label, c),
-cp AS (SELECT a.label AS i, b.label AS j, a.c AS c1, b.c AS c2 FROM cl a JOIN cl b ON ({_NEAR_ENDS}) AND {_LINF.format(a='a.v', b='b.v')} <= a.r + b.r + 1)"""
+cp AS (SELECT a.label AS i, b.label AS j, a.c AS c1, b.c AS c2 FROM {_NEAR_ENDS} JOIN cl a ON a.label = n.i JOIN cl b ON b.label = n.j WHERE {_LINF.format(a='a.v', b='b.v')} <= a.r + b.r + 1)"""
 
 
 @query("cluster_pair_candidates", with_sql(*_BOTH, _MEDOIDS, _CLUSTER_PAIRS, select="SELECT i, j, c1, c2 FROM cp"))
