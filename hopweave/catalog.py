@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import EV, TR, events_graph, trade_graph
+from .functions.scalars import linf, one_sided
 from .operators import bounds, cluster, consistency, index, match, relation, topology
 from .operators.distance import all_distances, bounded_distances, closure, parents
 from .plans.pattern import Pattern
@@ -329,7 +330,7 @@ def _(spark, sf):
     g, v = _vectors(spark, sf, False)
     ends = trade_graph(spark, sf).edges.select(F.col("src").alias("x"), F.col("dst").alias("y"))
     both = ends.join(v.selectExpr("vid AS x", "v AS a"), "x").join(v.selectExpr("vid AS y", "v AS b"), "y")
-    return both.select("x", "y", bounds.linf(F.col("a"), F.col("b")).alias("bound"))
+    return both.select("x", "y", linf(F.col("a"), F.col("b")).alias("bound"))
 
 
 @query("landmark_lower_bound", with_sql(TR, _LANDMARKS, _LM_NEAR, select=f"""SELECT e.src AS x, e.dst AS y, CAST(greatest(max(coalesce(b.d, {CUT + 1}) - coalesce(a.d, {CUT + 1})), 0) AS INTEGER) AS bound
@@ -341,7 +342,7 @@ def _(spark, sf):
     v = index.vectors(g, near.select("vid", dim.alias("dim"), "d"), len(names), CUT)
     v, _ = kept(v, "landmark-vectors")
     both = g.edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).join(v.selectExpr("vid AS x", "v AS a"), "x").join(v.selectExpr("vid AS y", "v AS b"), "y")
-    return both.select("x", "y", bounds.one_sided(F.col("b"), F.col("a")).alias("bound"))
+    return both.select("x", "y", one_sided(F.col("b"), F.col("a")).alias("bound"))
 
 
 @query("landmark_prune", with_sql(*_DIRECTED, _band_sql(_ONE, 1), arc_sql(NEAR, 6, "band"), select="SELECT label, vid FROM ac_d"))

@@ -8,21 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import linf, one_sided
 from ..plans.pattern import Pattern
 from ..plans.storage import kept
-
-
-def linf(a: Column, b: Column) -> Column:
-    """The largest difference of two vectors' components."""
-    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
-
-
-def one_sided(a: Column, b: Column) -> Column:
-    """The largest of a - b, or 0."""
-    return F.greatest(F.array_max(F.zip_with(a, b, lambda x, y: x - y)), F.lit(0))
+from .consistency import arc_consistent
 
 
 def areas(vectors: DataFrame, delta: int) -> DataFrame:
@@ -108,7 +100,5 @@ def landmark_pruned(vectors: DataFrame, pattern: Pattern, directed: bool, to_fix
 
     vectors are distances to sets (directed) or of an undirected graph.
     """
-    from .consistency import arc_consistent
-
     pairs, _ = kept(band_pairs(vectors, pattern, directed), "bounded-pairs")
     return arc_consistent(pairs, pattern, None if to_fixpoint else 1)[0]

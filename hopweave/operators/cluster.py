@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import linf, scatter
 from ..plans.pattern import Pattern
 from ..plans.storage import kept
-from .bounds import linf
-from .index import scatter
 
 
 def seeds(vectors: DataFrame, k: int, salt: int = 0) -> DataFrame:

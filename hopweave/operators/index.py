@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scatter
 from ..plans.graph import LabeledGraph
 from ..plans.storage import kept
 from .distance import bounded_distances, closure
@@ -12,12 +13,6 @@ from .distance import bounded_distances, closure
 OUT, IN = 0, 1
 
 
-def scatter(vid: Column, salt: Column | int) -> Column:
-    """A fixed pseudo-random number of a vertex, the same in any SQL engine."""
-    salt = F.lit(salt) if isinstance(salt, int) else salt
-    return ((vid + 1) * F.lit(2654435761) + salt * F.lit(40503)) % F.lit(1000003)
-
-
 def hub_labels(graph: LabeledGraph, limit: int, labels: tuple[int, int] | None = None) -> DataFrame:
     """vid, dir, hub, d: for OUT the distance from vid to hub, for IN from hub to vid; (v, v, 0) included.
 

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import number
 from ..operators.topology import dense_ids
 
 
-def number(cell: Column) -> Column:
-    """The integer that a cell begins with, or 0."""
-    return F.coalesce(F.expr("try_cast(NULL AS LONG)"), F.regexp_extract(cell, r"^\s*([+-]?\d+)", 1).try_cast("long"), F.lit(0)).cast("long")
-
-
 def lines(spark: SparkSession, path: str, terminated: bool = True) -> DataFrame:
     """value, place: the lines before the first that begins with `*`, but for comments and blank ones.
 
