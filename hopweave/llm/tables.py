@@ -1,51 +1,13 @@
-"""Reading the corpus tables and keeping intermediate ones in the folder that all executors share."""
+"""Reading the corpus tables; intermediate ones are kept in the folder that all executors share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
-
+from ..plans.storage import drop, kept, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    found = spark.conf.get(SETTING, None)
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="hopweave-")
-    return _own[app]
+__all__ = ["drop", "kept", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables written by `kept` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df once to the shared folder and reads it from there: its lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hopweave/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        drop(spark, path)
-    except Exception:  # the session has ended; what is left there goes with the cluster's own clean-up
-        pass
