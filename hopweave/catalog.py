@@ -274,7 +274,7 @@ _LM_NEAR = near_sql("lc", "SELECT vid AS key, vid FROM lm", "tr_e", CUT)
 
 
 def _landmarks(spark, sf):
-    g = trade_graph(spark, sf)
+    g = trade_graph(spark, sf).stored()
     return g, kept(index.landmark_distances(g, index.random_landmarks(g, 4, 5), CUT), "landmark-distances")[0]
 
 
@@ -311,7 +311,7 @@ def _band_sql(bound: str, delta: int) -> str:
 
 def _vectors(spark, sf, directed: bool):
     g = trade_graph(spark, sf)
-    g = g if directed else g.undirected()
+    g = (g if directed else g.undirected()).stored()
     return g, kept(index.vectors(g, index.embedding(g, index.reference_sets(g, SCALES), CUT), SETS, CUT), "vectors")[0]
 
 

@@ -7,6 +7,7 @@ tr: customer 0, order 1, part 2, supplier 3, nation 4, each a vertex key * 8 + l
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans.graph import LabeledGraph
 
@@ -37,9 +38,7 @@ def events_graph(spark: SparkSession, sf_dir: str) -> LabeledGraph:
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> LabeledGraph:
-    edges = _sql(spark, sf_dir, TR_EDGES)
-    ends = edges.selectExpr("src AS vid").unionByName(edges.selectExpr("dst AS vid")).distinct()
-    return LabeledGraph.of(edges, ends.selectExpr("vid", "CAST(vid % 8 AS INT) AS label"))
+    return LabeledGraph.of(_sql(spark, sf_dir, TR_EDGES), F.col("vid") % 8)
 
 
 def _plain(text: str) -> str:

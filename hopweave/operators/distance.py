@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from ..plans.storage import drop, kept
 
 
-def bounded_distances(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """seeds (key, vid) -> key, vid, d: distances of at most limit from any seed of the key. Key is of any type."""
+def bounded_distances(seeds: DataFrame, edges: DataFrame, limit: int, simple: bool = False) -> DataFrame:
+    """seeds (key, vid) -> key, vid, d: distances of at most limit from any seed of the key. Key is of any type.
+
+    Edges of a stored graph are simple; others are written here first, one for each pair of ends.
+    """
     spark = seeds.sparkSession
-    edges, edges_at = kept(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")).where(F.col("w") <= limit), "edges")
-    low, high = edges.agg(F.min("w"), F.max("w")).first()
+    edges_at = None
+    if not simple:
+        edges, edges_at = kept(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")).where(F.col("w") <= limit), "edges")
+    low, high = edges.agg(F.min("w"), F.max(F.when(F.col("w") <= limit, F.col("w")))).first()
+    low = low if high is not None or low is None or low < 1 else None
     if low is not None and low < 1:
         raise ValueError("weights must be positive")
     done, at = kept(seeds.select("key", "vid").distinct().withColumn("d", F.lit(0)), "distance-0")
@@ -32,7 +38,8 @@ def bounded_distances(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFra
         if empty >= high:
             break
         done = done.unionByName(new)
-    drop(spark, edges_at)
+    if edges_at:
+        drop(spark, edges_at)
     return done
 
 
@@ -51,9 +58,9 @@ def all_distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         best, best_at, front, front_at = merged, at, new, new_at
 
 
-def closure(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, limit: int, simple: bool = False) -> DataFrame:
     """src, dst, d for each seed vertex (vid)."""
-    return bounded_distances(seeds.select(F.col("vid").alias("key"), "vid"), edges, limit).select(F.col("key").alias("src"), F.col("vid").alias("dst"), "d")
+    return bounded_distances(seeds.select(F.col("vid").alias("key"), "vid"), edges, limit, simple).select(F.col("key").alias("src"), F.col("vid").alias("dst"), "d")
 
 
 def parents(distances: DataFrame, edges: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ def hub_labels(graph: LabeledGraph, limit: int, labels: tuple[int, int] | None =
 
     With all vertices, IN labels are the OUT labels the other way round, so one search serves both.
     """
+    graph = graph.stored()
     seeds = graph.vertices if labels is None else graph.labeled(*labels)
-    out, _ = kept(closure(seeds, graph.edges, limit), "out-labels")
-    back = out.selectExpr("dst AS src", "src AS dst", "d") if labels is None else closure(seeds, graph.reversed().edges, limit)
+    out, _ = kept(closure(seeds, graph.edges, limit, True), "out-labels")
+    back = out.selectExpr("dst AS src", "src AS dst", "d") if labels is None else closure(seeds, graph.reversed().edges, limit, True)
     return _tagged(out, OUT).unionByName(_tagged(back, IN))
 
 
@@ -41,6 +42,7 @@ def pruned_hub_labels(graph: LabeledGraph, limit: int, first: int = 64) -> DataF
     Hubs are taken by degree, in batches that grow fourfold. A label is left out if labels of earlier batches give its
     distance already; that never loses a distance, as the pair's earliest hub on a shortest path is never left out.
     """
+    graph = graph.stored()
     degree = graph.edges.select(F.explode(F.array("src", "dst")).alias("vid")).groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
     # a batch's number from the degree alone: no order over all vertices in one task
     total = degree.count()
@@ -56,8 +58,8 @@ def pruned_hub_labels(graph: LabeledGraph, limit: int, first: int = 64) -> DataF
     found: DataFrame | None = None
     for batch in batches if total else []:
         seeds = degree.where(F.col("n").isin(batch)).select("vid")
-        to_hub = closure(seeds, graph.reversed().edges, limit).selectExpr("dst AS vid", f"{OUT} AS dir", "src AS hub", "d")
-        from_hub = closure(seeds, graph.edges, limit).selectExpr("dst AS vid", f"{IN} AS dir", "src AS hub", "d")
+        to_hub = closure(seeds, graph.reversed().edges, limit, True).selectExpr("dst AS vid", f"{OUT} AS dir", "src AS hub", "d")
+        from_hub = closure(seeds, graph.edges, limit, True).selectExpr("dst AS vid", f"{IN} AS dir", "src AS hub", "d")
         if found is not None:
             to_hub, from_hub = (_uncovered(x, found, way) for x, way in ((to_hub, OUT), (from_hub, IN)))
         new = to_hub.unionByName(from_hub)
@@ -82,9 +84,10 @@ def random_landmarks(graph: LabeledGraph, n: int, salt: int = 0) -> DataFrame:
 
 def farthest_landmarks(graph: LabeledGraph, n: int, limit: int, salt: int = 0) -> DataFrame:
     """Landmarks one by one, each the farthest (within limit; smallest vid in ties) from those before it."""
+    graph = graph.stored()
     chosen, _ = kept(random_landmarks(graph, 1, salt), "landmarks")
     for _ in range(n - 1):
-        reach = bounded_distances(chosen.select(F.lit(0).alias("key"), F.col("landmark").alias("vid")), graph.edges, limit)
+        reach = bounded_distances(chosen.select(F.lit(0).alias("key"), F.col("landmark").alias("vid")), graph.edges, limit, True)
         far = reach.where("d > 0").orderBy(F.desc("d"), "vid").limit(1).select(F.col("vid").alias("landmark"))
         if far.isEmpty():
             break
@@ -94,7 +97,7 @@ def farthest_landmarks(graph: LabeledGraph, n: int, limit: int, salt: int = 0) -
 
 def landmark_distances(graph: LabeledGraph, landmarks: DataFrame, limit: int) -> DataFrame:
     """landmark, vid, d: distances from landmarks of at most limit."""
-    return bounded_distances(landmarks.select(F.col("landmark").alias("key"), F.col("landmark").alias("vid")), graph.edges, limit).withColumnRenamed("key", "landmark")
+    return bounded_distances(landmarks.select(F.col("landmark").alias("key"), F.col("landmark").alias("vid")), graph.edges, limit, graph.simple).withColumnRenamed("key", "landmark")
 
 
 def landmark_ranges(graph: LabeledGraph, distances: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def reference_sets(graph: LabeledGraph, scales: int) -> DataFrame:
 
 def embedding(graph: LabeledGraph, sets: DataFrame, limit: int) -> DataFrame:
     """vid, dim, d: the distance from vid to the nearest vertex of each set, where that is at most limit."""
-    return bounded_distances(sets.select(F.col("dim").alias("key"), "vid"), graph.reversed().edges, limit).select("vid", F.col("key").alias("dim"), "d")
+    return bounded_distances(sets.select(F.col("dim").alias("key"), "vid"), graph.reversed().edges, limit, graph.simple).select("vid", F.col("key").alias("dim"), "d")
 
 
 def vectors(graph: LabeledGraph, distances: DataFrame, dims: int, limit: int) -> DataFrame:

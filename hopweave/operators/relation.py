@@ -15,19 +15,28 @@ from .index import IN, OUT
 
 
 def _of_edges(pairs: DataFrame, vertices: DataFrame, pattern: Pattern) -> DataFrame:
-    """Pairs (x, y) -> i, j, x, y for the pattern's edges; the edges are literals, so nothing is broadcast."""
+    """Pairs (x, y), each x of a left label, -> i, j, x, y for the pattern's edges; the edges are literals, so nothing is broadcast."""
     i, j = (vertices.select(F.col("vid").alias(v), F.col("label").alias(k)) for v, k in (("x", "i"), ("y", "j")))
     ends = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in pattern.edges]
     wanted = F.struct("i", "j").isin(*ends) if len(ends) > 1 else (F.col("i") == pattern.edges[0][0]) & (F.col("j") == pattern.edges[0][1])
     starts, stops = sorted({a for a, _ in pattern.edges}), sorted({b for _, b in pattern.edges})
-    return pairs.join(i.where(F.col("i").isin(starts)), "x").join(j.where(F.col("j").isin(stops)), "y").where(wanted).select("i", "j", "x", "y")
+    # the right ends first, as most pairs go there; the left ones all have a label of starts
+    some = pairs.join(j.where(F.col("j").isin(stops)), "y")
+    some = some.withColumn("i", F.lit(starts[0])) if len(starts) == 1 else some.join(i.where(F.col("i").isin(starts)), "x")
+    return some.where(wanted).select("i", "j", "x", "y")
+
+
+def _stored(relation: DataFrame) -> DataFrame:
+    """Written in a folder for each edge, so that reading one edge reads nothing else."""
+    return kept(relation, "relation", "i", "j")[0]
 
 
 def distance_relation(graph: LabeledGraph, pattern: Pattern) -> DataFrame:
     """i, j, x, y by a search from the vertices of left labels only, no further than delta."""
+    graph = graph.stored()
     seeds = graph.vertices.where(F.col("label").isin(sorted({i for i, _ in pattern.edges}))).select("vid")
-    near = closure(seeds, graph.edges, pattern.delta).select(F.col("src").alias("x"), F.col("dst").alias("y"))
-    return kept(_of_edges(near, graph.vertices, pattern), "relation")[0]
+    near = closure(seeds, graph.edges, pattern.delta, True).select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    return _stored(_of_edges(near, graph.vertices, pattern))
 
 
 def hub_relation(labels: DataFrame, vertices: DataFrame, pattern: Pattern) -> DataFrame:
@@ -37,7 +46,7 @@ def hub_relation(labels: DataFrame, vertices: DataFrame, pattern: Pattern) -> Da
     into = near.where(F.col("dir") == IN).selectExpr("vid AS y", "hub", "d AS d2")
     starts, stops = (vertices.where(F.col("label").isin(sorted({e[k] for e in pattern.edges}))).select(F.col("vid").alias(v)) for k, v in ((0, "x"), (1, "y")))
     pairs = out.join(starts, "x", "left_semi").join(into.join(stops, "y", "left_semi"), "hub").where(F.col("d1") + F.col("d2") <= pattern.delta).select("x", "y").distinct()
-    return kept(_of_edges(pairs, vertices, pattern), "relation")[0]
+    return _stored(_of_edges(pairs, vertices, pattern))
 
 
 def edge(relation: DataFrame, i: int, j: int) -> DataFrame:

@@ -31,13 +31,14 @@ def drop(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df once to the shared folder and reads it from there; its path, for `drop`."""
+def kept(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """Writes df once to the shared folder, in a folder for each value of `by`, and reads it from there; its path, for `drop`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hopweave/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
+    back = spark.read.schema(df.schema).parquet(path)
+    return (back.select(*df.columns) if by else back), path
 
 
 def _forget(spark: SparkSession, path: str) -> None:
