@@ -28,8 +28,8 @@ from .tables import kept
 from .textcore import ALNUM, U64, Chunk, as_bytes, chunks, merged
 
 WINDOW = 10
-#: Bytes of item texts in one automaton; more items make more automata, not a larger one.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item texts in one automaton, which takes about 110 times as much in a process; more items make more automata, not a larger one.
+BLOCK_BYTES = 4 << 20
 #: A document of which more than this share of words is hit goes as a whole, where texts are cleaned.
 COVERAGE = 0.5
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
