@@ -6,7 +6,7 @@ score is w0 + sum(w x) + the sum of <v, v'> x x' over all pairs, for which sum((
 linear time. Labels, lang, source and doc_id are not among the features.
 
 It is trained on at most `TRAIN_ROWS` labelled documents, those of the smallest hash of doc_id among the ones allowed
-(a documented bound: the model is small and gains little from more), by adaptive gradient steps on the driver. Scoring
+(a documented bound: the model is small and gains little from more), one row of each, by adaptive gradient steps on the driver. Scoring
 covers all documents, batch by batch in numpy, with the model broadcast (of a fixed size, about 5 MB).
 
 Nulls and the like: a null or empty text has only statistics and gets a score; a null n_chars counts as 0; several
@@ -178,9 +178,11 @@ def fitted(docs: DataFrame, labels: DataFrame, target: str = "quality", train_ro
     known = labels.select("doc_id", F.col(target).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chars = F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("n_chars")
-    rows = docs.select("doc_id", "text", chars).join(F.broadcast(sample), "doc_id").select("label", "text", "n_chars")
+    rows = docs.select("doc_id", "text", chars).join(F.broadcast(sample), "doc_id")
+    # of rows that repeat a doc_id, the one of the smallest text hash
+    one = rows.groupBy("doc_id", "label").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("row")).select("label", "row.text", "row.n_chars")
     # at most train_rows rows of a few hundred words each come to the driver; sorted, so that reruns agree
-    got = sorted(map(tuple, rows.mapInArrow(_examples, "label int, words binary, weights binary, stats binary").collect()))[:train_rows]
+    got = sorted(map(tuple, one.mapInArrow(_examples, "label int, words binary, weights binary, stats binary").collect()))
     if not got:
         return None
     examples = [(np.frombuffer(w, np.int32), np.frombuffer(x, np.float32), np.frombuffer(s)) for _, w, x, s in got]

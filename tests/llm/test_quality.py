@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from hopweave.llm.quality import RANK, STATS, Machine, quality
+from hopweave.llm.quality import RANK, STATS, Machine, fitted, quality
 
 DATA = "/root/testdata/sf0.01"
 
@@ -41,3 +42,16 @@ def test_odd_rows(spark):
     assert [x.held_out for x in got if x.doc_id is None] == [False]
     assert {x.score for x in quality(docs, labels.limit(0)).collect()} == {0.5}
     assert quality(docs.limit(0), labels).collect() == []
+
+
+def test_repeated_ids_train_as_one_row_each(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 120")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    assert {x.quality for x in labels.where("doc_id < 120").collect()} == {0, 1}
+    many = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") % 5 == 0, 40).otherwise(7))))
+    one, seven = fitted(docs, labels, train_rows=60), fitted(many, labels, train_rows=60)
+    assert one.w0 == seven.w0 and np.array_equal(one.w, seven.w) and np.array_equal(one.v, seven.v)
+    # texts that differ under one id: one of them, however the rows lie
+    mixed = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" other"))))
+    a, b = fitted(mixed.repartition(3), labels, train_rows=60), fitted(mixed.repartition(5, "text"), labels, train_rows=60)
+    assert np.array_equal(a.w, b.w) and abs(a.w0 - one.w0) < 3
