@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -211,16 +211,6 @@ _PART = pa.schema([("did", pa.int64()), ("tk", pa.int64()), ("n_words", pa.int64
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64())])
 
 
-def _reported(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            yield _batch([_row(ids[at], n, first, last, items) for at, n, first, last, items, _, _ in matcher.documents(as_bytes(batch.column("text")))], _OUT)
-
-    return run
-
-
 def _parts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
@@ -231,32 +221,6 @@ def _parts(shared):
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        texts = as_bytes(batch.column("text"))
-        for doc, text, parts in zip(batch.column("doc_id").to_pylist(), texts, batch.column("parts").to_pylist(), strict=True):
-            got = parts or []
-            first, last = merged(*(np.array([v for p in got for v in p[k]], dtype=np.int64) for k in ("first", "last")))
-            rows.append(_row(doc, len(WORD.findall((text or b"").lower())), first, last, sorted({i for p in got for i in p["items"]})))
-        yield _batch(rows, _OUT)
-
-
-def _cleaned(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
-        for batch in batches:
-            ids, texts, rows = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), []
-            for at, n, first, last, _, c, lo in matcher.documents(texts):
-                text = texts[at]
-                if len(first):
-                    text = matcher.cut(text, first, last, c, lo, at)
-                rows.append((ids[at], None if text is None else text.decode(), n, int((last - first).sum())))
-            yield _batch(rows, _CLEAN)
-
-    return run
-
-
 def blocks_of(items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Items]]:
     """Automata of at most block_bytes of texts each (or of one item); the driver holds one block at a time."""
     held, size = [], 0
@@ -270,31 +234,72 @@ def blocks_of(items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_B
     yield [Items(held, window)]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Words of each document that windows of the items hit: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def _with_parts(docs: DataFrame, blocks: Iterator[list[Items]]) -> DataFrame:
+    """docs with `parts`: the hits of each block in the whole text, null where there are none. Rows of the same id and text share them."""
+    own = docs.withColumns({"_did": F.coalesce("doc_id", F.lit(-(2**63))), "_tk": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    found = None
+    for block in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        hits = own.select(F.col("_did").alias("did"), F.col("_tk").alias("tk"), "text").mapInArrow(_parts(shared), "did long, tk long, n_words long, first array<long>, last array<long>, items array<long>")
+        part, _ = kept(hits.dropDuplicates(["did", "tk"]), "hits")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    parts = found.groupBy("did", "tk").agg(F.collect_list(F.struct("first", "last", "items")).alias("parts")).withColumnsRenamed({"did": "_did", "tk": "_tk"})
+    return own.join(parts, ["_did", "_tk"], "left").select(*docs.columns, "parts")
+
 
-    With one block of items, documents stream through it once; with more, each block's hits are kept and united.
+def _united(texts: list[bytes | None], parts: list[list[dict] | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[int], Chunk, int]]:
+    """As Matcher.documents, from what several blocks have hit."""
+    for c in chunks(texts):
+        c.words(ALNUM, lower=True)
+        for at, lo, hi in zip(c.rows.tolist(), c.first.tolist(), c.last.tolist(), strict=True):
+            got = parts[at] or []
+            first, last = merged(*(np.array([v for p in got for v in p[k]], dtype=np.int64) for k in ("first", "last")))
+            yield at, hi - lo, first, last, sorted({i for p in got for i in p["items"]}), c, lo
+
+
+def matching(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Callable]:
+    """docs, and what gives a task its matcher of batches, which yields what Matcher.documents does for the hits of all items.
+
+    Documents stream through one block's automaton; with more blocks, each one's hits on the whole texts are kept, united and joined as `parts`.
     """
-    spark = docs.sparkSession
     blocks = blocks_of(items, window, block_bytes)
     one, two = next(blocks), next(blocks, None)
-    if two is None:
-        return docs.select("doc_id", "text").mapInArrow(_reported(spark.sparkContext.broadcast(one)), OUT)
-    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"), "text")
-    found = None
-    for block in chain([one, two], blocks):
-        shared = spark.sparkContext.broadcast(block)
-        part, _ = kept(own.select("did", "tk", "text").mapInArrow(_parts(shared), "did long, tk long, n_words long, first array<long>, last array<long>, items array<long>"), "hits")
-        shared.unpersist()
-        found = part if found is None else found.unionByName(part)
-    parts = found.groupBy("did", "tk").agg(F.collect_list(F.struct("first", "last", "items")).alias("parts"))
-    return own.join(parts, ["did", "tk"], "left").select("doc_id", "text", "parts").mapInArrow(_summed, OUT)
+    if two is not None:
+        return _with_parts(docs, chain([one, two], blocks)), lambda: lambda batch: _united(as_bytes(batch.column("text")), batch.column("parts").to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast(one)
+
+    def start() -> Callable:
+        matcher = Matcher(shared.value)
+        return lambda batch: matcher.documents(as_bytes(batch.column("text")))
+
+    return docs, start
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Words of each document that windows of the items hit: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    matched, start = matching(docs.select("doc_id", "text"), items, window, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = start()
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            yield _batch([_row(ids[at], n, first, last, names) for at, n, first, last, names, _, _ in match(batch)], _OUT)
+
+    return matched.mapInArrow(run, OUT)
 
 
 def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text without the spans of hit words, n_words and n_hit (before). Items of several blocks are taken out one block after another."""
-    spark, out = docs.sparkSession, None
-    for block in blocks_of(items, window, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
-        out = (docs if out is None else out).select("doc_id", "text").mapInArrow(_cleaned(shared), "doc_id long, text string, n_words long, n_hit long")
-    return out
+    """doc_id, text without the spans of words that any item hits, n_words and n_hit (before)."""
+    matched, start = matching(docs.select("doc_id", "text"), items, window, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = start()
+        for batch in batches:
+            ids, texts, rows = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), []
+            for at, n, first, last, _, c, lo in match(batch):
+                text = Matcher.cut(texts[at], first, last, c, lo, at) if len(first) else texts[at]
+                rows.append((ids[at], None if text is None else text.decode(), n, int((last - first).sum())))
+            yield _batch(rows, _CLEAN)
+
+    return matched.mapInArrow(run, "doc_id long, text string, n_words long, n_hit long")

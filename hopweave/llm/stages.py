@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .decontaminate import COVERAGE, Matcher, blocks_of
+from .decontaminate import COVERAGE, Matcher, matching
 from .minhash_dedup import near_duplicates
 from .mix_sources import mix_sized, sized
 from .quality import features, fitted
@@ -85,21 +85,19 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans that benchmark items hit; documents that are hit in over COVERAGE of their words go."""
     names = docs.columns
-    for block in blocks_of(table(spark, sf_dir, "benchmark")):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
-            for batch in batches:
-                texts, stay = as_bytes(batch.column("text")), []
-                for at, n, first, last, _, c, lo in matcher.documents(list(texts)):
-                    if len(first):
-                        texts[at] = matcher.cut(texts[at], first, last, c, lo, at)
-                    stay.append(int((last - first).sum()) <= COVERAGE * n)
-                yield _with_texts(batch, names, texts).filter(pa.array(stay, type=pa.bool_()))
-
-        docs = _mapped(docs, run, docs)
-    return docs
+    matched, start = matching(docs, table(spark, sf_dir, "benchmark"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = start()
+        for batch in batches:
+            texts, stay = as_bytes(batch.column("text")), []
+            for at, n, first, last, _, c, lo in match(batch):
+                if len(first):
+                    texts[at] = Matcher.cut(texts[at], first, last, c, lo, at)
+                stay.append(int((last - first).sum()) <= COVERAGE * n)
+            yield _with_texts(batch, names, texts).filter(pa.array(stay, type=pa.bool_()))
+
+    return _mapped(matched, run, docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

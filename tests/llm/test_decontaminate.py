@@ -60,3 +60,14 @@ def test_text_without_hits_and_empty_tables(spark):
     assert {x.doc_id: (x.text, x.n_hit) for x in without_hits(d, i, 4).collect()} == {1: ("keep . rest", 4), 2: ("one two", 0), 3: (None, 0)}
     assert decontaminate(d.limit(0), i).collect() == []
     assert [x.n_hit for x in decontaminate(d, i.limit(0)).collect()] == [0, 0, 0]
+
+
+def test_blocks_are_cut_together(spark):
+    ws = [f"w{k}" for k in range(40)]
+    texts = [(1, " ".join(ws)), (2, "a b c " + " ".join(ws[5:15]) + " d e"), (3, "x y"), (None, " ".join(ws)), (1, " ".join(ws)), (4, None)]
+    # overlapping items, and one that only a cut would bring together
+    items = [(1, " ".join(ws[5:15])), (2, " ".join(ws[10:20])), (3, " ".join(["b", "c", "d", "e"]))]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    one, many = (sorted(map(str, without_hits(d, i, 4, b).collect())) for b in (1 << 20, 30))
+    assert one == many and sum("n_hit=15" in x for x in many) == 3

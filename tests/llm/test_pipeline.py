@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from hopweave.llm import stages
+from hopweave.llm import decontaminate, stages
 from hopweave.llm.tables import table
 
 DATA = "/root/testdata/sf0.001"
@@ -46,3 +46,16 @@ def test_stages_on_odd_rows(spark):
     assert mixed.columns == [*COLUMNS, "copy"] and all(0 <= x.copy < 6 for x in mixed.collect())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).collect() == []
+
+
+def test_coverage_counts_all_blocks_of_the_benchmark(spark, monkeypatch):
+    ws = [f"w{k}" for k in range(100)]
+    items = [" ".join(ws[0:30]), " ".join(ws[60:90])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1)
+    monkeypatch.setattr(stages, "table", lambda *_: bench)
+    rows = [(1, " ".join(ws), "en", "s", 5), (2, " ".join(ws[30:60] + ws[60:75]), "en", "s", 5), (3, None, "en", "s", 5)]
+    got = []
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(decontaminate.matching, "__defaults__", (decontaminate.WINDOW, size))
+        got.append(sorted(map(tuple, stages.without_benchmark(spark, frame(spark, rows), DATA).collect())))
+    assert got[0] == got[1] and [x[0] for x in got[1]] == [2, 3] and got[1][0][1] == " ".join(ws[30:60]) + " "
