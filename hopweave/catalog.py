@@ -154,6 +154,17 @@ def _(spark, sf):
     return all_distances(g.labeled(4, 4).select(F.col("vid").alias("key"), "vid"), g.edges)
 
 
+#: Each user's events are a chain, so the distance from its first event is a running sum.
+_EV_CHAIN = "ch AS (SELECT event_id AS vid, first_value(event_id) OVER u AS key, row_number() OVER u - 1 AS level, coalesce(sum(1 + event_id % 2) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+@query("unbounded_distances_events", with_sql(_EV_CHAIN, select="SELECT key, vid, CAST(d AS INTEGER) AS d FROM ch WHERE n > 1"))
+def _(spark, sf):
+    g = events_graph(spark, sf).stored()
+    first = g.vertices.join(g.edges.selectExpr("dst AS vid"), "vid", "left_anti")
+    return all_distances(first.select(F.col("vid").alias("key"), "vid"), g.edges)
+
+
 # --- relations ---
 @query("distance_relation", with_sql(TR, relation_sql("tr", TR_TRIANGLE, 3), select="SELECT i, j, x, y FROM rel"))
 def _(spark, sf):
@@ -467,6 +478,11 @@ def _(spark, sf):
     return topology.topological_levels(trade_graph(spark, sf).edges.where("src % 8 <> 4"))
 
 
+@query("topological_level_events", with_sql(_EV_CHAIN, select="SELECT vid, CAST(level AS INTEGER) AS level FROM ch WHERE n > 1"))
+def _(spark, sf):
+    return topology.topological_levels(events_graph(spark, sf).edges)
+
+
 @query("transitive_closure", with_sql(EV, "tc(src, dst) AS (SELECT src, dst FROM ev_e UNION SELECT t.src, e.dst FROM tc t JOIN ev_e e ON e.src = t.dst)", select="SELECT src, dst FROM tc"))
 def _(spark, sf):
     return topology.reachability(events_graph(spark, sf).edges)

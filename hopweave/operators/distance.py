@@ -8,7 +8,7 @@ to the shared folder, so plans stay short and lost executors cost one step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import drop, kept
@@ -43,16 +43,53 @@ def bounded_distances(seeds: DataFrame, edges: DataFrame, limit: int, simple: bo
     return done
 
 
+def rooted(ends: DataFrame, edges: DataFrame, fixed: DataFrame) -> DataFrame:
+    """vid, root, off for each vertex of ends (vid); edges have one weight for each pair of ends, and no loops.
+
+    A vertex with a single in-edge is reached only through its predecessor: its root is the predecessor's, off the way
+    from there. All others, and those of fixed (vid), are their own roots. Ways are doubled, so a chain takes a
+    logarithm of its length in rounds. Vertices behind a cycle of single in-edges have a null root.
+    """
+    spark = edges.sparkSession
+    single = edges.groupBy(F.col("dst").alias("vid")).agg(F.min("src").alias("up"), F.min("w").cast("long").alias("off"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n").join(fixed, "vid", "left_anti")
+    first = ends.join(single, "vid", "left").select("vid", F.coalesce("up", "vid").alias("up"), F.coalesce("off", F.lit(0)).alias("off"), F.col("up").isNull().alias("done"))
+    now, at = kept(first, "rooted")
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("NOT done").isEmpty():
+            break
+        above = now.selectExpr("vid AS mid", "up AS top", "off AS more", "done AS ends")
+        longer = now.where("NOT done").join(above, F.col("up") == F.col("mid")).select("vid", F.col("top").alias("up"), (F.col("off") + F.col("more")).alias("off"), F.col("ends").alias("done"))
+        new, new_at = kept(now.where("done").unionByName(longer), "rooted")
+        drop(spark, at)
+        now, at = new, new_at
+    return now.select("vid", F.when(F.col("done"), F.col("up")).alias("root"), "off")
+
+
+def contracted(edges: DataFrame, roots: DataFrame, best: Column) -> DataFrame:
+    """src, dst, w between roots: every edge into a root, begun at the root of its other end; of parallel ones the best."""
+    into = edges.join(roots.where("vid = root").selectExpr("vid AS dst"), "dst", "left_semi")
+    return into.join(roots.where("root IS NOT NULL").selectExpr("vid AS src", "root", "off"), "src").select(F.col("root").alias("src"), "dst", (F.col("w") + F.col("off")).alias("w")).groupBy("src", "dst").agg(best.alias("w"))
+
+
 def all_distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """As bounded_distances, without a bound: what improved in a round goes on, until nothing does."""
+    """As bounded_distances, without a bound: what improved in a round goes on, until nothing does.
+
+    Rounds go over roots (see `rooted`; seeds are roots), and what hangs from a root is added at the end.
+    """
     spark = seeds.sparkSession
-    best, best_at = kept(seeds.select("key", "vid").distinct().withColumn("d", F.lit(0)), "best")
+    seeds, seeds_at = kept(seeds.select("key", "vid").distinct(), "seeds")
+    edges, edges_at = kept(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")), "edges")
+    fixed = seeds.select("vid").distinct()
+    roots, roots_at = kept(rooted(edges.select(F.explode(F.array("src", "dst")).alias("vid")).unionByName(fixed).distinct(), edges, fixed).where("root IS NOT NULL"), "roots")
+    core, core_at = kept(contracted(edges, roots, F.min("w")).withColumnRenamed("src", "vid"), "core")
+    best, best_at = kept(seeds.withColumn("d", F.lit(0).cast("long")), "best")
     front, front_at = best, None
     while True:
-        met = front.join(edges.withColumnRenamed("src", "vid"), "vid").select("key", F.col("dst").alias("vid"), (F.col("d") + F.col("w")).alias("n")).groupBy("key", "vid").agg(F.min("n").alias("n"))
+        met = front.join(core, "vid").select("key", F.col("dst").alias("vid"), (F.col("d") + F.col("w")).alias("n")).groupBy("key", "vid").agg(F.min("n").alias("n"))
         new, new_at = kept(met.join(best, ["key", "vid"], "left").where("d IS NULL OR n < d").select("key", "vid", F.col("n").alias("d")), "front")
         if new.isEmpty():
-            return best
+            drop(spark, seeds_at, edges_at, core_at)
+            return best.withColumnRenamed("vid", "root").join(roots, "root").select("key", "vid", (F.col("d") + F.col("off")).cast("int").alias("d"))
         merged, at = kept(best.unionByName(new).groupBy("key", "vid").agg(F.min("d").alias("d")), "best")
         drop(spark, best_at, *([front_at] if front_at else []))
         best, best_at, front, front_at = merged, at, new, new_at

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import drop, kept
+from .distance import contracted, rooted
 
 
 def _least(start: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,23 +56,33 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
-    """vid, level: the longest path that ends at each vertex of an acyclic graph; raises if there is a cycle."""
+    """vid, level: the longest path that ends at each vertex of an acyclic graph; raises if there is a cycle.
+
+    A vertex with one in-edge is a level after its predecessor, so such vertices are counted from their root by doubling;
+    rounds go over roots only, and a chain takes one of them.
+    """
     spark = edges.sparkSession
-    vertices = edges.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
-    now, at = kept(vertices.withColumn("level", F.lit(0)), "levels")
-    front, rounds, most = now, 0, None
+    edges, edges_at = kept(edges.select("src", "dst").distinct(), "edges")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+    roots = rooted(ends, edges.withColumn("w", F.lit(1)), ends.limit(0))
+    if not roots.where("root IS NULL").isEmpty():
+        raise ValueError("the graph has a cycle")
+    core, core_at = kept(contracted(edges.withColumn("w", F.lit(1)), roots, F.max("w")), "core")
+    now, at = kept(roots.where("vid = root").select("vid", F.lit(0).alias("level")), "levels")
+    front, front_at, rounds, most = now, None, 0, None
     while True:
-        met = front.join(edges.select("src", "dst").distinct(), F.col("vid") == F.col("src")).select(F.col("dst").alias("vid"), F.lit(rounds + 1).alias("level")).distinct()
-        front, _ = kept(met, "front")
-        if front.isEmpty():
-            return now
+        met = front.join(core, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("vid")).agg(F.max(F.col("level") + F.col("w")).alias("n"))
+        new, new_at = kept(met.join(now, "vid").where("n > level").select("vid", F.col("n").alias("level")), "front")
+        if new.isEmpty():
+            drop(spark, edges_at, core_at)
+            return roots.join(now.withColumnRenamed("vid", "root"), "root").select("vid", (F.col("level") + F.col("off")).alias("level"))
         rounds += 1
-        most = most if most is not None else vertices.count()
+        most = most if most is not None else now.count()
         if rounds >= most:
             raise ValueError("the graph has a cycle")
-        merged, merged_at = kept(now.unionByName(front).groupBy("vid").agg(F.max("level").alias("level")), "levels")
-        drop(spark, at)
-        now, at = merged, merged_at
+        merged, merged_at = kept(now.unionByName(new).groupBy("vid").agg(F.max("level").alias("level")), "levels")
+        drop(spark, at, *([front_at] if front_at else []))
+        now, at, front, front_at = merged, merged_at, new, new_at
 
 
 def reachability(edges: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from itertools import product
 
 import pytest
 
-from hopweave.operators import bounds, cluster, consistency, index, match, relation, topology
+from hopweave.operators import bounds, cluster, consistency, distance, index, match, relation, topology
 from hopweave.operators.distance import all_distances, closure
 from hopweave.plans.graph import LabeledGraph
+from hopweave.plans import storage
 from hopweave.plans.pattern import BACKWARD, FORWARD, Pattern
 
 
@@ -141,3 +142,37 @@ def test_components_and_levels(spark):
     with pytest.raises(ValueError):
         topology.topological_levels(e)
     assert topology.reachability(dag).count() == 6
+
+
+def longest(edges):
+    into, out = {}, {}
+    for a, b, _ in edges:
+        into.setdefault(b, set()).add(a)
+    for v in sorted({v for a, b, _ in edges for v in (a, b)}):  # ids go up along edges
+        out[v] = max((out[u] + 1 for u in into.get(v, ())), default=0)
+    return out
+
+
+def test_deep_graphs_take_few_rounds(spark, monkeypatch):
+    r = random.Random(3)
+    # chains of 70, with some trees and joints between them
+    edges = [(c * 70 + k, c * 70 + k + 1, r.randint(1, 3)) for c in range(3) for k in range(69)]
+    edges += [(20, 75, 2), (30, 150, 1), (100, 180, 5), (10, 300, 1), (10, 301, 1), (300, 302, 2)]
+    g = graph(spark, edges).stored()
+    written = []
+    for module in (distance, topology):
+        monkeypatch.setattr(module, "kept", lambda df, name, *by: written.append(name) or storage.kept(df, name, *by))
+    seeds = [(0, 0), (70, 70), (70, 40), (5, 160)]
+    got = {(x.key, x.vid): x.d for x in all_distances(spark.createDataFrame(seeds, "key long, vid long"), g.edges).collect()}
+    want = {}
+    for key, s in seeds:
+        for v, d in dijkstra(edges, s).items():
+            want[key, v] = min(d, want.get((key, v), d))
+    assert got == want
+    assert {x.vid: x.level for x in topology.topological_levels(g.edges).collect()} == longest(edges)
+    assert len(written) < 60
+    for loop in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 4), (4, 1)], [(1, 1)], [(0, 1), (1, 2), (2, 1)]):
+        with pytest.raises(ValueError):
+            topology.topological_levels(spark.createDataFrame(loop, "src long, dst long"))
+    cycle = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 4, 1), (4, 5, 1), (5, 3, 1)], "src long, dst long, w int")
+    assert sorted(map(tuple, all_distances(spark.createDataFrame([(9, 1), (9, 7)], "key long, vid long"), cycle).collect())) == [(9, 1, 0), (9, 2, 1), (9, 7, 0)]
