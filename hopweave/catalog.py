@@ -472,6 +472,11 @@ def _(spark, sf):
     return topology.strong_components(edges.unionByName(back))
 
 
+@query("scc_of_trade_graph")
+def _(spark, sf):
+    return topology.strong_components(trade_graph(spark, sf).edges)
+
+
 #: Without the edges from nations the trade graph has no cycle.
 @query("topological_level", with_sql(TR, "ac AS (SELECT src, dst FROM tr_e WHERE src % 8 <> 4), lv(vid, level) AS (SELECT DISTINCT src, 0 FROM ac WHERE src NOT IN (SELECT dst FROM ac) UNION SELECT e.dst, l.level + 1 FROM lv l JOIN ac e ON e.src = l.vid)", select="SELECT vid, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY vid"))
 def _(spark, sf):

@@ -6,6 +6,8 @@ from itertools import product
 
 import pytest
 
+from hopweave import catalog
+from hopweave.fixtures import trade_graph
 from hopweave.operators import bounds, cluster, consistency, distance, index, match, relation, topology
 from hopweave.operators.distance import all_distances, closure
 from hopweave.plans.graph import LabeledGraph
@@ -176,3 +178,29 @@ def test_deep_graphs_take_few_rounds(spark, monkeypatch):
             topology.topological_levels(spark.createDataFrame(loop, "src long, dst long"))
     cycle = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 4, 1), (4, 5, 1), (5, 3, 1)], "src long, dst long, w int")
     assert sorted(map(tuple, all_distances(spark.createDataFrame([(9, 1), (9, 7)], "key long, vid long"), cycle).collect())) == [(9, 1, 0), (9, 2, 1), (9, 7, 0)]
+
+
+def reached(edges, start):
+    out, todo = {start}, [start]
+    while todo:
+        for v in edges.get(todo.pop(), ()):
+            if v not in out:
+                out.add(v)
+                todo.append(v)
+    return out
+
+
+def test_components_of_the_whole_trade_graph(spark):
+    sf = "/root/testdata/sf0.001"
+    to, back = {}, {}
+    for x in trade_graph(spark, sf).edges.collect():
+        to.setdefault(x.src, []).append(x.dst)
+        back.setdefault(x.dst, []).append(x.src)
+    want, seen = {}, set()
+    for v in sorted(to):
+        if v not in seen:
+            both = reached(to, v) & reached(back, v)
+            seen |= both
+            want |= {u: min(both) for u in both if len(both) > 1}
+    got = {x.vid: x.comp for x in catalog.QUERIES["scc_of_trade_graph"](spark, sf).collect()}
+    assert got == want and {v % 8 for v in got} == {0, 1, 2, 3, 4}
