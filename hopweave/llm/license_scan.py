@@ -1,6 +1,6 @@
 """License scan with a trained paragraph classifier.
 
-A paragraph is a line with words. Its distinct words and pairs of neighbouring words, lower-cased and without
+A paragraph is a line with words; neighbouring lines that only together hold a notice are one more (see `_wrapped`). Its distinct words and pairs of neighbouring words, lower-cased and without
 punctuation at their ends, are hashed into `2**BITS` places of a sparse logistic regression over the licence families
 and one class for everything else. It is trained here on the families' own sentences (below), with words left out, put
 before and behind, and on other text: shuffled words, sentences about law and licences in general, and word salad. The
@@ -58,8 +58,8 @@ def _words(text: bytes) -> list[bytes]:
     return [w for w in (STRIP.sub(b"", w) for w in text.lower().split()) if w]
 
 
-def _ids(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Paragraph and feature of each word and pair, and where paragraphs start and end (in the chunk's bytes)."""
+def _placed(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start, end and line of each word without the punctuation at its ends."""
     lines = np.flatnonzero(c.data == 10)
     # ends of words without punctuation
     plain = (c.data >= 48) & (c.data <= 57) | (c.data >= 97) & (c.data <= 122) | (c.data >= 128)
@@ -68,7 +68,11 @@ def _ids(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     some = b > a
     start, end = at[a[some]], at[b[some] - 1] + 1
     h = Rolling(BYTE[c.data], BYTES_BASE).runs(start, end)
-    line = np.searchsorted(lines, start)
+    return h, start, end, np.searchsorted(lines, start)
+
+
+def _ids(h: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraph and feature of each word and pair, and where paragraphs start and end (in the chunk's bytes)."""
     new = np.ones(len(line), dtype=bool)
     new[1:] = line[1:] != line[:-1]
     para = np.cumsum(new) - 1
@@ -138,7 +142,7 @@ def _matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     rows, ids = [], []
     for c in chunks([t.replace(b"\n", b" ") for t in texts]):
         c.words(lower=True)
-        p, i, start, _ = _ids(c)
+        p, i, start, _ = _ids(*_placed(c))
         rows.append(c.rows[c.owner(start, c.lo)][p])
         ids.append(i)
     return _distinct(np.concatenate(rows), np.concatenate(ids))
@@ -193,15 +197,94 @@ def classifier() -> Classifier:
     return found
 
 
+@lru_cache(1)
+def _sentences() -> tuple[list[tuple[str, set]], list[int], np.ndarray, list[list[int]]]:
+    """Family and word pairs of each sentence, how many of them confirm it, all pairs' hashes, and the sentences of each."""
+    known = [(name, s) for name, many in FAMILIES.items() for s in many]
+    where: dict[int, list[int]] = {}
+    for t, (_, s) in enumerate(known):
+        c = Chunk([0], [s.encode()])
+        c.words(lower=True)
+        h = _placed(c)[0]
+        for x in np.unique(mix(h[:-1] * U64(3) + h[1:])).tolist():
+            where.setdefault(x, []).append(t)
+    own = [(name, _pairs(s.encode())) for name, s in known]
+    keys = sorted(where)
+    return own, [int(np.ceil(ALIKE * len(s) - 1e-9)) for _, s in own], np.array(keys, dtype=U64), [where[k] for k in keys]
+
+
+def _wrapped(m: Classifier, h: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarray, doc: np.ndarray, data: bytes) -> list[tuple[int, int, str, float, float, set]]:
+    """Start, end, family, score, likeness and confirming pairs of windows of neighbouring lines with words that only together confirm a sentence.
+
+    A window begins as the fewest lines with ALIKE of a sentence's pairs and grows while a next line has more of them. It
+    counts if the chance of the unknown class leaves the threshold to the families; the likest sentence names the family.
+    """
+    own, need, keys, where = _sentences()
+    if len(h) < 2:
+        return []
+    pair = mix(h[:-1] * U64(3) + h[1:])
+    at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+    apart = (doc[1:] != doc[:-1]) | (line[1:] - line[:-1] > 1)
+    run = np.cumsum(np.r_[False, apart])
+    hit = np.flatnonzero((keys[at] == pair) & ~apart)
+    by: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for k, r, a, b in zip(at[hit].tolist(), run[hit].tolist(), line[hit].tolist(), line[hit + 1].tolist(), strict=True):
+        for t in where[k]:
+            by.setdefault((r, t), []).append((k, a, b))
+    spans = set()
+    for (_, t), got in by.items():
+        if got[0][1] == got[-1][2] or len({k for k, _, _ in got}) < need[t]:
+            continue
+        times: dict[int, int] = {}
+        lo = 0
+        for hi, (k, _, b) in enumerate(got):
+            times[k] = times.get(k, 0) + 1
+            while times[got[lo][0]] > 1 or len(times) > need[t]:
+                times[got[lo][0]] -= 1
+                if not times[got[lo][0]]:
+                    del times[got[lo][0]]
+                lo += 1
+            if len(times) == need[t]:
+                have, a, i, j = set(times), got[lo][1], lo - 1, hi + 1
+                for step in (1, -1):
+                    while True:
+                        more, n = set(), j if step == 1 else i
+                        while 0 <= n < len(got) and (got[n][2] <= b + 1 if step == 1 else got[n][1] >= a - 1):
+                            more.add(got[n][0])
+                            n += step
+                        if more <= have:
+                            break
+                        have |= more
+                        a, b, i, j = (a, b + 1, i, n) if step == 1 else (a - 1, b, n, j)
+                if a < b:
+                    spans.add((a, b))
+    scored = []
+    for a, b in sorted(spans):
+        x, y = int(np.searchsorted(line, a)), int(np.searchsorted(line, b, side="right"))
+        ids = np.unique(np.r_[h[x:y], pair[x : y - 1]] & U64((1 << BITS) - 1)).astype(np.int64)
+        p = m.chances(np.zeros(len(ids), dtype=np.int64), ids, 1)[0]
+        mine = _pairs(data[start[x] : end[y - 1]])
+        alike, _, name, held = max(((len(mine & s) / len(s), len(mine & s), name, mine & s) for name, s in own), key=lambda z: z[:2])
+        if alike >= ALIKE and 1 - p[-1] >= m.threshold:
+            scored.append((int(start[x]), int(end[y - 1]), name, float(1 - p[-1]), alike, held))
+    out: list[tuple] = []
+    for w in sorted(scored, key=lambda w: (-w[4], -len(w[5]), w[1] - w[0], w[0])):
+        if all(w[1] <= o[0] or o[1] <= w[0] for o in out):
+            out.append(w)
+    return out
+
+
 def scan_texts(texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple[int, int, str, float, float]]]]:
     """Numbers of paragraphs, and (start, end, family, score, likeness) of the licensed ones, of each text."""
     m = classifier()
     pairs = {name: [_pairs(s.encode()) for s in FAMILIES[name]] for name in FAMILIES}
     count = np.zeros(len(texts), dtype=np.int64)
     found: list[list[tuple[int, int, str, float, float]]] = [[] for _ in texts]
+    wide: list[list[tuple]] = [[] for _ in texts]
     for c in chunks(texts):
         c.words(lower=True)
-        paras, ids, start, end = _ids(c)
+        placed = _placed(c)
+        paras, ids, start, end = _ids(*placed)
         if not len(start):
             continue
         doc = c.owner(start, c.lo)
@@ -209,13 +292,17 @@ def scan_texts(texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple[i
         bound = np.bincount(paras, np.maximum(m.best[ids], 0), minlength=len(start)) + (m.bias[:-1] - m.bias[-1]).max()
         # the family's margin over the unknown class is under what the threshold needs
         likely = bound >= m.temperature * np.log(m.threshold / (1 - m.threshold + 1e-12))
+        data = c.data.tobytes()
+        for a, b, *x in _wrapped(m, *placed, c.owner(placed[1], c.lo), data):
+            k = int(c.owner(np.array([a]), c.lo)[0])
+            base = int(c.lo[k])
+            wide[int(c.rows[k])].append((a - base, b - base, *x))
         if not likely.any():
             continue
         keep = likely[paras]
         number = np.cumsum(likely) - 1
         row, col = _distinct(number[paras[keep]], ids[keep])
         p = m.chances(row, col, int(likely.sum()))
-        data = c.data.tobytes()
         for i, at in enumerate(np.flatnonzero(likely).tolist()):
             k = int(p[i, :-1].argmax())
             if p[i, k] >= m.threshold:
@@ -224,6 +311,13 @@ def scan_texts(texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple[i
                 if alike >= ALIKE:
                     base = int(c.lo[doc[at]])
                     found[int(c.rows[doc[at]])].append((int(start[at]) - base, int(end[at]) - base, m.names[k], float(p[i, k]), alike))
+    for i, windows in enumerate(wide):
+        for a, b, family, score, alike, held in windows:
+            # a line goes where the window explains what it was confirmed by
+            inside = [x for x in found[i] if x[0] < b and a < x[1]]
+            mine = {x: max((_pairs(texts[i][x[0] : x[1]]) & s for s in pairs[x[2]]), key=len) for x in inside}
+            if not any(x[2] == family and (x[4] >= alike or len(mine[x]) >= len(held)) for x in inside):
+                found[i] = sorted([x for x in found[i] if x not in mine or not (x[2] == family or mine[x] < held)] + [(a, b, family, score, alike)])
     return count, found
 
 

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from hopweave.llm.license_scan import FAMILIES, classifier, license_paragraphs, license_scan, scan_texts
 
@@ -29,3 +30,15 @@ def test_odd_rows(spark):
     assert sorted((str(x.doc_id), x.n_paragraphs, x.families) for x in license_scan(df).collect()) == [("1", 3, "mit"), ("1", 3, "mit"), ("3", 0, ""), ("4", 0, ""), ("5", 1, ""), ("None", 1, "cc-by")]
     assert sorted((str(x.doc_id), x.start, x.end) for x in license_paragraphs(df).collect()) == [("1", 3, 33), ("1", 3, 33), ("None", 0, 24)]
     assert license_scan(df.limit(0)).collect() == []
+
+
+def test_wrapped_notices():
+    head = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    notices = {"bsd": FAMILIES["bsd"][2], "cc0": FAMILIES["cc0"][1], "gpl-3": head + ", either version 3 of the License", "gpl-2": head + "; either version 2 of the License"}
+    for name, text in notices.items():
+        for width in (35, 60, 72):
+            for mark in ("", "# ", " * "):
+                lines = [mark + x for x in textwrap.wrap(text + ", or so.", width)]
+                found = scan_texts(["\n".join(["int main;", "", *lines, "", "zz yy"]).encode()])[1][0]
+                assert [x[2] for x in found] == [name], (name, width, mark, found)
+    assert not scan_texts([b"permission is\n\nhereby granted\n\nfree of\n\ncharge"])[1][0]
