@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    found = spark.conf.get(SETTING, None)
+    """The session's spark.checkpoint.dir, or what setCheckpointDir was given; a folder of our own only where neither is set and
+    all tasks run in this process, as in tests. On a cluster executors would not see such a folder, so that raises."""
+    found = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError(f"{SETTING} is not set: intermediate tables need a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="hopweave-")
