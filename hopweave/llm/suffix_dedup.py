@@ -13,8 +13,12 @@ of them stands left of the gram, halving that range each round. A half keeps wha
 strings have (hashed into a new bucket); what has all the bytes of the half in common is settled and one stays for
 all. So no bucket is larger than `most`, none is cut off, and the number of rounds is bounded by log2(length).
 
+Strings that stand in equal surroundings (`whole`), and those of divided buckets, are equal by 64-bit hashes, under a
+gram's 64 bits; in ordinary buckets bytes are compared.
+
 Nulls and the like: a null text counts as empty; a row with a null doc_id is treated like any other; repeated rows
-are each other's copies; extra columns are ignored; an empty table gives an empty result.
+are each other's copies, and share one set of hits; extra columns are ignored; an empty table gives an empty result. A
+text is held whole by a task, at about 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -234,7 +238,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     drop(spark, blocks_at, texts_at)
     wanted = index.where("members > 1").select("one.did", "one.tk", F.struct("h", "one.at", "n", "off", (F.col("c") == 1).alias("alone"), "members").alias("x"))
     wanted = wanted.groupBy("did", "tk").agg(F.collect_list("x").alias("blocks"))
-    members, members_at = kept(own.join(wanted, ["did", "tk"]).select("did", "tk", "text", "blocks").mapInArrow(_members(length), MEMBER), "members")
+    # one row of each text: a bucket has no more members than texts
+    members, members_at = kept(own.dropDuplicates(["did", "tk"]).join(wanted, ["did", "tk"]).select("did", "tk", "text", "blocks").mapInArrow(_members(length), MEMBER), "members")
     large = grams.where(F.col("members") > most).select("h")
     any_large = not large.isEmpty()
     usual = members.join(large, "h", "left_anti") if any_large else members
@@ -269,5 +274,5 @@ def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """What each document keeps: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see the module)."""
-    hits = repeats(docs, length, gram, most).groupBy("did", "tk").agg(F.collect_list(F.struct("from", "to")).alias("hits"))
+    hits = repeats(docs, length, gram, most).groupBy("did", "tk").agg(F.collect_set(F.struct("from", "to")).alias("hits"))
     return _keyed(docs).join(hits, ["did", "tk"], "left").select("doc_id", "text", "hits").mapInArrow(_kept_bytes, OUT)

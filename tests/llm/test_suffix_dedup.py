@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from hopweave.llm import suffix_dedup as suffix
 from hopweave.llm.suffix_dedup import bucket_cover, lcp_intervals, suffix_dedup
 
 
@@ -57,3 +58,27 @@ def test_intervals_and_cover():
     assert sorted(lcp_intervals([1, 3, 0])) == [(0, 0, 3), (1, 0, 2), (3, 1, 2)]
     lefts, rights = bucket_cover([2, 2, 0], [b"abXYZ12", b"abXYZ13", b"XYZ9"], 5)
     assert lefts.tolist() == [2, 2, 0] and rights.tolist() == [4, 4, 0]
+
+
+def test_rows_that_repeat_are_one_member(spark, monkeypatch):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    line = text(60)
+    rows = [(1, text(20) + line), (2, text(9) + line + text(9))] + [(3, line + text(30))] * 2000 + [(None, text(5) + line + "q")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sizes = []
+    real = suffix.kept
+    monkeypatch.setattr(suffix, "kept", lambda df, name, *by: sizes.append((name, *(k := real(df, name, *by)))) or k)
+    monkeypatch.setattr(suffix, "drop", lambda *_: None)
+    got = suffix_dedup(df, 40, 10).collect()
+    members = next(df for name, df, _ in sizes if name == "members")
+    assert members.count() == members.distinct().count() and max(x["count"] for x in members.groupBy("h").count().collect()) == 4
+    assert sorted({(str(x.doc_id), x.n_removed) for x in got}) == [("1", 60), ("2", 60), ("3", 90), ("None", 66)] and len(got) == len(rows)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(2)
+    long = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=1_500_000))
+    rows = [(1, long), (2, "x" + long[700_000:700_500]), (3, None)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1_500_000, 500, 1), 2: (501, 500, 1), 3: (0, 0, 0)}
