@@ -9,7 +9,7 @@ It is trained on at most `TRAIN_ROWS` labelled documents, those of the smallest
 (a documented bound: the model is small and gains little from more), one row of each, by adaptive gradient steps on the driver. Scoring
 covers all documents, batch by batch in numpy, with the model broadcast (of a fixed size, about 5 MB).
 
-Nulls and the like: a null or empty text has only statistics and gets a score; a null n_chars counts as 0; several
+Nulls and the like: a null or empty text has only statistics and gets a score; a null n_chars (or none) counts as 0; several
 labels of a document count as their largest, null labels and labels without a document as none; without any label
 the score is 0.5 for all; repeated rows and null doc_ids are scored like others (a null doc_id is not held out);
 extra columns are ignored; an empty table gives no rows.
@@ -173,11 +173,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _chars(docs: DataFrame) -> Column:
+    given = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(0.0)
+    return F.greatest(F.coalesce(given, F.lit(0.0)), F.lit(0.0)).alias("n_chars")
+
+
 def fitted(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows: int = TRAIN_ROWS) -> Machine | None:
     """The machine, from at most train_rows labelled documents that are not held out; None without any."""
     known = labels.select("doc_id", F.col(target).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    chars = F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("n_chars")
+    chars = _chars(docs)
     rows = docs.select("doc_id", "text", chars).join(F.broadcast(sample), "doc_id")
     # of rows that repeat a doc_id, the one of the smallest text hash
     one = rows.groupBy("doc_id", "label").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("row")).select("label", "row.text", "row.n_chars")
@@ -192,5 +197,5 @@ def fitted(docs: DataFrame, labels: DataFrame, target: str = "quality", train_ro
 def quality(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on) of every document."""
     machine = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, target, train_rows))
-    chars = F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("n_chars")
+    chars = _chars(docs)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", chars).mapInArrow(_scored(machine), OUT)
