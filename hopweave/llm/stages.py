@@ -1,7 +1,8 @@
 """Stages of the corpus pipeline: documents in, documents out, with all their columns.
 
 Where a stage changes a text, n_chars (if there is one) becomes the new text's length. Rows that repeat a doc_id are
-treated alike; null doc_ids and null texts pass through every stage that does not ask for words.
+treated alike; null doc_ids and null texts pass through every stage that does not ask for words. Extra columns of any name
+come out as they went in; a table without n_chars is judged as if it were 0.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import COVERAGE, Matcher, matching
 from .minhash_dedup import near_duplicates
 from .mix_sources import mix_sized, sized
 from .quality import features, fitted
-from .substring_dedup import duplicate_windows, factors, text_key
+from .substring_dedup import covered, factors, matches, matches_of, text_key
 from .tables import table
 from .textcore import as_bytes, chunks
 
@@ -34,6 +35,19 @@ def _with_texts(batch: pa.RecordBatch, names: list[str], texts: list[bytes | Non
     return pa.RecordBatch.from_arrays(out, names)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column's name that docs does not have."""
+    have = {c.lower() for c in docs.columns}
+    name = f"_{name}"
+    while name in have:
+        name += "_"
+    return name
+
+
+def _all(docs: DataFrame, but: str = "") -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() != but]
+
+
 def _mapped(docs: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], like: DataFrame) -> DataFrame:
     return docs.mapInArrow(f, like.schema)
 
@@ -47,7 +61,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         machine = shared.value
         for batch in batches:
             good = np.ones(batch.num_rows, dtype=bool)
-            chars = np.array([max(x or 0, 0) for x in batch.column("n_chars").to_pylist()], dtype=np.float64)
+            chars = np.array([max(x or 0, 0) for x in batch.column("n_chars").to_pylist()] if "n_chars" in names else [0] * batch.num_rows, dtype=np.float64)
             for c in chunks(as_bytes(batch.column("text"))) if machine else ():
                 good[c.rows] = 1 / (1 + np.exp(-np.clip(machine.margins(*features(c, chars[c.rows])), -500, 500))) >= THRESHOLD
             yield batch.select(names).filter(pa.array(good))
@@ -63,20 +77,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what windows of 50 words share with smaller documents; a text that changes has single spaces."""
-    hits = duplicate_windows(docs).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("_hits")).withColumnsRenamed({"doc_id": "_doc", "tk": "_tk"})
-    joined = docs.join(hits, (F.col("doc_id") == F.col("_doc")) & (text_key(F.col("text")) == F.col("_tk")), "left").select(*docs.columns, "_hits")
+    hits, doc, key = fresh(docs, "hits"), fresh(docs, "doc"), fresh(docs, "key")
+    found = matches(docs).withColumnsRenamed({"doc_id": doc, "tk": key, "hits": hits})
+    joined = docs.join(found, (F.col("doc_id") == F.col(doc)) & (text_key(F.col("text")) == F.col(key)), "left").select(*_all(docs), hits)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for i, found in enumerate(batch.column("_hits")):
-                if found.is_valid and len(found):
+            texts, column = as_bytes(batch.column("text")), batch.column(hits)
+            for i in range(batch.num_rows):
+                if len(got := factors(matches_of(column, i))):
                     words = texts[i].split()
-                    keep = np.ones(len(words), dtype=bool)
-                    for a, b in zip(*factors(*(found.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))), strict=True):
-                        keep[a:b] = False
-                    texts[i] = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)
+                    texts[i] = b" ".join(w for w, k in zip(words, covered(got, len(words)).tolist(), strict=True) if k)
             yield _with_texts(batch, names, texts)
 
     return _mapped(joined, run, docs)
@@ -101,13 +113,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (`copy` counts from 0), by source."""
-    keys = ["doc_id", "_key", "source"]
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    taken = mix_sized(sized(keyed, "_key")).groupBy(*keys).agg(F.sum("copies").alias("_copies"))
+    """Each document as often as the mix takes it (`copy` counts from 0, in place of any column of that name), by source."""
+    key, copies, first, copy = fresh(docs, "key"), fresh(docs, "copies"), fresh(docs, "first"), fresh(docs, "copy")
+    keys = ["doc_id", key, "source"]
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    taken = mix_sized(sized(keyed, key)).groupBy(*keys).agg(F.sum("copies").alias(copies))
     # rows that are the same come as often as all of them together
     a, b = keyed.alias("a"), taken.alias("b")
-    both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("a.*", "b._copies")
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    rows = both.withColumn("_first", first).where("_first = 1 AND _copies > 0")
-    return rows.select(*docs.columns, F.explode(F.expr("sequence(0L, _copies - 1)")).alias("copy"))
+    both = a.join(b, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]).select("a.*", f"b.{copies}")
+    rows = both.withColumn(first, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).where((F.col(first) == 1) & (F.col(copies) > 0))
+    other = [c for c in _all(docs, "copy")]
+    return rows.select(*other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)).alias(copy)).withColumnRenamed(copy, "copy")

@@ -1,11 +1,17 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 The reference is the corpus itself, in order of doc_id. It is cut into blocks, one for each stretch of windows
-(of `window` words) that share their smallest k-gram of words; blocks are indexed under that k-gram and under a
-fingerprint of their whole text. A document is factored against the index: a block that a smaller document has
-as a whole is matched at once; where only the k-gram is shared, each window of the block is looked up. Matches
-that follow each other make a factor, taken as long as it goes on; windows that begin inside a factor and run
-over its end are looked up too, so nothing is lost at factor boundaries. All words of a factor are duplicates.
+(of `window` words) that share their smallest k-gram of words; all blocks are indexed, under that k-gram and under a
+fingerprint of their whole text, with the place where they stand first. A document is factored against the index: a
+block that a smaller document has as a whole is matched at once; where only the k-gram is shared, each window of the
+block is looked up. The parse goes through a document's matches from left to right: a factor (words at, length; words
+of the source, from source_at) is taken as far as matches go on in its source; a window
+that begins inside a factor and runs over its end is a match too, so the next factor may begin before the last one's end
+and nothing is lost at factor boundaries. Of several sources a block has the smallest (doc_id, place) that has all of it,
+a window that is looked up the smallest that has the window. All words of a factor, `window` at least, are duplicates.
+
+A stretch that repeats a few words is one row of the index; its factor has the number of words after which it repeats
+as its period (otherwise 0), and only the first period is that of the source.
 
 Only k-grams, fingerprints and window hashes are shuffled, each aggregated before the shuffle; a passage with a
 third of all documents is one row for each task in the index, and the joins back to it are such as AQE can split.
@@ -13,7 +19,8 @@ Equality is by 128 bits (window hash and the hash of its first words; k-gram and
 
 Nulls and the like: a null or blank text has no words and loses none. A row with a null doc_id is returned, but
 gives and loses nothing. Rows that repeat a doc_id are judged each by its own text; among themselves they are not
-duplicates, since no doc_id is smaller. Extra columns are ignored. An empty table gives an empty result.
+duplicates, since no doc_id is smaller; rows that repeat both share one set of matches, however many they are. Extra
+columns are ignored. An empty table gives an empty result. A text is held whole by a task, at about 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -27,10 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import drop, kept
-from .textcore import U64, WORDS_BASE, Chunk, Rolling, as_bytes, chunks, merged, mix, regions
+from .textcore import U64, WORDS_BASE, Chunk, Rolling, as_bytes, chunks, mix, regions
 
 WINDOW, GRAM = 50, 20
 OUT = "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string"
+FACTOR = "doc_id long, at long, length long, source long, source_at long, period long"
 
 
 def text_key(text: Column) -> Column:
@@ -47,7 +55,7 @@ def _spans(c: Chunk, window: int, gram: int):
 
 
 def index_blocks(window: int = WINDOW, gram: int = GRAM) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, tk, text) -> a row for each block: h, ctx, doc_id, tk, its first window and how many it has."""
+    """(doc_id, tk, text) -> a row for each block: h, ctx, doc_id, tk, its first window, how many it has, and how many until it repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,11 +72,12 @@ def index_blocks(window: int = WINDOW, gram: int = GRAM) -> Callable[[Iterator[p
                 new = np.ones(len(a), dtype=bool)
                 new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (d[1:] != d[:-1]) | (a[1:] != b[:-1] + 1)
                 first = np.flatnonzero(new)
+                own = (b - a + 1)[first]
                 h, ctx, d, a, b = h[first], ctx[first], d[first], a[first], b[np.r_[first[1:] - 1, len(b) - 1]]
                 row = c.rows[d]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h.view(np.int64), ctx.view(np.int64), ids[row], tks[row], (a - c.first[d]).astype(np.int32), (b - a + 1).astype(np.int32))],
-                    ["h", "ctx", "doc_id", "tk", "at", "n"],
+                    [pa.array(x) for x in (h.view(np.int64), ctx.view(np.int64), ids[row], tks[row], (a - c.first[d]).astype(np.int32), (b - a + 1).astype(np.int32), own.astype(np.int32))],
+                    ["h", "ctx", "doc_id", "tk", "at", "n", "own"],
                 )
 
     return run
@@ -100,38 +109,53 @@ def look_up_windows(window: int = WINDOW, gram: int = GRAM):
     return run
 
 
-def factors(at: np.ndarray, n: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors from matched window starts: where each begins, and the end of its last word.
+#: A run of matched windows, and the place in its source of the first of them.
+MATCH = ("at", "n", "own", "source", "source_at")
 
-    `at` and `n` are runs of matched windows. A factor goes on while the next window is matched too; where it ends,
-    the next one may begin before its end, by less than a window.
+
+def factors(matches: pa.Array | None, window: int = WINDOW) -> np.ndarray:
+    """The factors of a document: rows of at, length, source, source_at and period, from left to right.
+
+    `matches` are structs of MATCH. One goes on with the factor before it if both follow each other here and in the source.
     """
-    first, last = merged(at, at + n)
-    return first, last - 1 + window
+    if matches is None or not len(matches):
+        return np.zeros((0, 5), dtype=np.int64)
+    at, n, own, source, place = (matches.field(k).to_numpy().astype(np.int64) for k in range(len(MATCH)))
+    by = np.lexsort((place, source, at))
+    at, n, own, source, place = at[by], n[by], own[by], source[by], place[by]
+    on = (at[1:] == at[:-1] + n[:-1]) & (source[1:] == source[:-1]) & (place[1:] - at[1:] == place[:-1] - at[:-1]) & (n == own)[1:] & (n == own)[:-1]
+    first = np.flatnonzero(np.r_[True, ~on])
+    last = np.r_[first[1:], len(at)] - 1
+    return np.column_stack([at[first], at[last] + n[last] - at[first] + window - 1, source[first], place[first], np.where(n[first] > own[first], own[first], 0)])
+
+
+def covered(found: np.ndarray, words: int) -> np.ndarray:
+    """Which of a document's words no factor covers."""
+    gone = np.zeros(words + 1, dtype=np.int32)
+    np.add.at(gone, found[:, 0], 1)
+    np.add.at(gone, found[:, 0] + found[:, 1], -1)
+    return np.cumsum(gone)[:words] == 0
+
+
+def matches_of(column: pa.ListArray, i: int) -> pa.Array | None:
+    row = column[i]
+    return row.values if row.is_valid else None
 
 
 def _parsed(window: int, want_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, hits in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("hits"), strict=True):
+            rows, hits = [], batch.column("hits")
+            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True)):
                 words = (text or b"").split()
-                total, removed, found = len(words), 0, 0
-                if hits.is_valid and len(hits):
-                    flat = hits.values
-                    first, end = factors(*(flat.field(k).to_numpy().astype(np.int64) for k in (0, 1)), window)
-                    found = len(first)
-                    gone = np.zeros(total + 1, dtype=np.int32)
-                    np.add.at(gone, first, 1)
-                    np.add.at(gone, end, -1)
-                    keep = np.cumsum(gone)[:total] == 0
-                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                    removed = total - len(words)
-                left = b" ".join(words)
+                total, found = len(words), factors(matches_of(hits, i), window)
+                if len(found):
+                    words = [w for w, k in zip(words, covered(found, total).tolist(), strict=True) if k]
+                removed, left = total - len(words), b" ".join(words)
                 if want_text:
                     rows.append((doc, None if text is None else text.decode() if not removed else left.decode()))
                 else:
-                    rows.append((doc, total, removed, found, hashlib.sha256(left).hexdigest()))
+                    rows.append((doc, total, removed, len(found), hashlib.sha256(left).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [()] * (2 if want_text else 5)
             kinds = [pa.int64(), pa.string()] if want_text else [pa.int64()] * 4 + [pa.string()]
             names = ["doc_id", "text"] if want_text else ["doc_id", "n_words", "n_removed", "n_factors", "kept_sha256"]
@@ -140,37 +164,59 @@ def _parsed(window: int, want_text: bool):
     return run
 
 
+def _listed(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, docs = batch.column("hits"), batch.column("doc_id").to_numpy()
+            found = [factors(matches_of(hits, i), window) for i in range(batch.num_rows)]
+            every = np.concatenate([np.zeros((0, 5), dtype=np.int64), *found])
+            cols = [np.repeat(docs, [len(f) for f in found]), every[:, 0], every[:, 1], every[:, 2], every[:, 3], every[:, 4]]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["doc_id", "at", "length", "source", "source_at", "period"])
+
+    return run
+
+
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The windows that smaller documents have: (doc_id, tk, at, n) for runs of n windows from word `at` on."""
+    """The windows that smaller documents have, as runs of MATCH for each (doc_id, tk)."""
     spark = docs.sparkSession
     own = docs.select("doc_id", text_key(F.col("text")), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    blocks, blocks_at = kept(own.mapInArrow(index_blocks(window, gram), "h long, ctx long, doc_id long, tk long, at int, n int"), "blocks")
-    by_text = blocks.groupBy("h", "ctx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    by_text, by_text_at = kept(by_text, "by-text")
-    by_gram = by_text.groupBy("h").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("texts")).where("lo < hi").select("h", (F.col("texts") > 1).alias("several"))
+    place = lambda: [F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")]
+    blocks, blocks_at = kept(own.mapInArrow(index_blocks(window, gram), "h long, ctx long, doc_id long, tk long, at int, n int, own int"), "blocks")
+    by_text, by_text_at = kept(blocks.groupBy("h", "ctx").agg(*place()), "by-text")
+    by_gram = by_text.groupBy("h").agg(F.min("first.doc_id").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("texts")).where("lo < hi").select("h", (F.col("texts") > 1).alias("several"))
     by_gram, by_gram_at = kept(by_gram, "by-gram")
-    index, index_at = kept(by_text.join(by_gram, "h").where("several OR first < last").select("h", "ctx", "first", "several"), "index")
-    seen, seen_at = kept(blocks.join(index, ["h", "ctx"]).where("doc_id > first OR several").select("doc_id", "tk", "at", "n", (F.col("doc_id") > F.col("first")).alias("whole")), "seen")
+    index, index_at = kept(by_text.join(by_gram, "h").where("several OR first.doc_id < last").select("h", "ctx", F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_at"), "several"), "index")
+    seen, seen_at = kept(blocks.join(index, ["h", "ctx"]).where("doc_id > source OR several").select("doc_id", "tk", *MATCH, (F.col("doc_id") > F.col("source")).alias("whole")), "seen")
     drop(spark, blocks_at, by_text_at, by_gram_at, index_at)
-    open_blocks = seen.where("NOT whole").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
+    # sets, not lists: rows that repeat a document bring the same blocks again
+    open_blocks = seen.where("NOT whole").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "n")).alias("blocks"))
     windows, windows_at = kept(own.join(open_blocks, ["doc_id", "tk"]).select("doc_id", "tk", "text", "blocks").mapInArrow(look_up_windows(window, gram), "wh long, chk long, doc_id long, tk long, at int"), "windows")
-    firsts, firsts_at = kept(windows.groupBy("wh", "chk").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("wh", "chk", "first"), "firsts")
-    met = windows.join(firsts, ["wh", "chk"]).where("doc_id > first").select("doc_id", "tk", "at", F.lit(1).alias("n"))
-    out, _ = kept(seen.where("whole").select("doc_id", "tk", "at", "n").unionByName(met), "duplicate-windows")
+    firsts, firsts_at = kept(windows.groupBy("wh", "chk").agg(*place()).where("first.doc_id < last").select("wh", "chk", F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_at")), "firsts")
+    met = windows.join(firsts, ["wh", "chk"]).where("doc_id > source").select("doc_id", "tk", "at", F.lit(1).alias("n"), F.lit(1).alias("own"), "source", "source_at")
+    out, _ = kept(seen.where("whole").select("doc_id", "tk", *MATCH).unionByName(met), "duplicate-windows")
     drop(spark, seen_at, windows_at, firsts_at)
     return out
 
 
+def matches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, tk and the set `hits` of MATCH, for each text with any."""
+    return duplicate_windows(docs, window).groupBy("doc_id", "tk").agg(F.collect_set(F.struct(*MATCH)).alias("hits"))
+
+
 def _joined(docs: DataFrame, window: int) -> DataFrame:
-    hits = duplicate_windows(docs, window).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
-    return docs.withColumn("tk", text_key(F.col("text"))).join(hits, ["doc_id", "tk"], "left")
+    return docs.select("doc_id", "text").withColumn("tk", text_key(F.col("text"))).join(matches(docs, window), ["doc_id", "tk"], "left").select("doc_id", "text", "hits")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """What each document keeps: doc_id, n_words, n_removed, n_factors, kept_sha256 (see the module)."""
-    return _joined(docs.select("doc_id", "text"), window).select("doc_id", "text", "hits").mapInArrow(_parsed(window, False), OUT)
+    return _joined(docs, window).mapInArrow(_parsed(window, False), OUT)
+
+
+def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The factors of all documents: doc_id, at, length, source, source_at, period (see the module)."""
+    return _joined(docs, window).where("hits IS NOT NULL").mapInArrow(_listed(window), FACTOR)
 
 
 def without_duplicates(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id and text without its duplicate spans; a text that loses nothing stays as it is, others have single spaces."""
-    return _joined(docs.select("doc_id", "text"), window).select("doc_id", "text", "hits").mapInArrow(_parsed(window, True), "doc_id long, text string")
+    return _joined(docs, window).mapInArrow(_parsed(window, True), "doc_id long, text string")
