@@ -1,20 +1,28 @@
 """MinHash near-dedup by an LSH forest.
 
 A document's set is its distinct shingles (hashes of `size` words, lower-cased). Equal sets are one class. Each class
-has `TREES * DEPTH` minhashes, and each tree orders the classes by those in a cyclic order of its own; classes that
-share a prefix of DEPTH minhashes stand together there and are a region. A region of more than `most` classes goes
-deeper (twice the prefix each time) until it isn't; what deeper prefixes put asunder is then held against each other
-block by block, but for what is in one component already, so that no region is capped or sampled.
+has `TREES * DEPTH` minhashes. Each tree of the forest is a sorted order of the classes, by their minhashes in a cyclic
+order of its own; ranges of the orders are sorted by different tasks. A scan along an order measures the common prefix of
+neighbours. Neighbours that share `DEPTH` minhashes are in a region with all that stand between them and share these;
+where an order is thin, the nearest two are a region if they share `SHALLOW`. What has no such neighbour is left
+out of the order at once. A region of more than `most` classes gives its neighbours in the order as candidates, which have
+the longest prefixes in common, and goes deeper (half as much again or twice the prefix each time) until it isn't too
+large; what deeper prefixes put asunder is then held against each other block by block, but for what is
+in one component already, so that no region is capped or sampled.
 
 In a region, intersections of the full sets are counted, by one matrix product of its shared shingles, and links are
 those at `percent` or more; out come edges that span its components, not pairs. Regions with the same members in
 several trees are done once. A link at 85 % is missed if none of 24 trees has it in a region: (1 - 0.85**4)**24, that
 is 2e-8; at 80 %, 3e-6.
 
+The blocks of a large region hold its classes outside the main component against all others. Rows and work for them are
+the number of those times the number of blocks: none for one connected group, and quadratic only where thousands of
+classes share a prefix and are not linked.
+
 Nulls and the like: documents without words have an empty set and are linked with nothing; fewer words than a shingle
 make one shingle of all; a null doc_id has no place among components: its component is null and it is kept; rows that
 repeat a doc_id are one vertex, linked by any of their texts, and kept or not together; extra columns are ignored;
-an empty table gives no rows.
+an empty table gives no rows. A text is held whole by a task, at about 40 bytes a byte.
 """
 
 from __future__ import annotations
@@ -31,6 +39,8 @@ from .tables import drop, kept
 from .textcore import U64, WORDS_BASE, Chunk, Rolling, as_bytes, chunks, mix, runs_of, stream
 
 TREES, DEPTH, MOST = 24, 4, 2048
+#: Minhashes of an order that it is sorted by, and the least that neighbours in a thin part have to share.
+PATH, SHALLOW = 8, 3
 WIDTH = TREES * DEPTH
 _FLIP, _TIMES = stream(11, WIDTH), stream(12, WIDTH) | U64(1)
 
@@ -93,22 +103,68 @@ def _signed(size: int):
     return run
 
 
-def _keyed(depth: int, trees_given: bool):
-    """Signatures -> keys at a depth, of all trees or of the row's own."""
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures -> a row for each tree: the class and its path, the first minhashes of that tree's order."""
+    turn = (np.arange(TREES)[:, None] * DEPTH + np.arange(PATH)) % WIDTH
+    for batch in batches:
+        if batch.num_rows:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
+            path = pa.py_buffer(sig[:, turn].astype(">u4").tobytes())
+            n = len(sig) * TREES
+            paths = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * PATH), n, [None, path]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("c").to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sig))), paths], ["c", "tree", "path"])
+
+
+def common_prefix(tree: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """How many minhashes each row of an order shares with the next one."""
+    return np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of the orders, sorted -> class, tree and region key of what shares a prefix with a neighbour, and the next class.
+
+    The first and the last row of a range may have a neighbour in the next range: they stay, under the same key.
+    """
+    tree, path, c = np.zeros(0, dtype=np.int32), np.zeros((0, PATH), dtype=np.uint32), np.zeros(0, dtype=np.int64)
+    before = DEPTH
+
+    def scan(last: bool) -> pa.RecordBatch:
+        shared = common_prefix(tree, path)
+        near = np.maximum(np.r_[before, shared], np.r_[shared, DEPTH if last else 0])[: len(c) if last else len(c) - 1]
+        row = np.flatnonzero(near >= DEPTH)
+        key = (tree[row] + 1).astype(U64)
+        for d in range(DEPTH):
+            key = mix(key * U64(31) + path[row, d])
+        two = np.flatnonzero((shared >= SHALLOW) & (shared < DEPTH))
+        both = mix(mix(c[two].view(U64)) * U64(31) + c[two + 1].view(U64))
+        out = [np.r_[c[row], c[two], c[two + 1]], np.r_[tree[row], tree[two], tree[two]], np.r_[key, both, both].view(np.int64)]
+        none = np.r_[np.r_[shared, 0][row] < DEPTH, np.ones(2 * len(two), dtype=bool)]
+        after = np.r_[np.r_[c[1:], 0][row], c[two], c[two]]
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), pa.array(after, mask=none)], ["c", "tree", "key", "after"])
+
+    for batch in batches:
+        if batch.num_rows:
+            tree = np.r_[tree, batch.column("tree").to_numpy()]
+            path = np.concatenate([path, np.frombuffer(b"".join(batch.column("path").to_pylist()), dtype=">u4").reshape(-1, PATH).astype(np.uint32)])
+            c = np.r_[c, batch.column("c").to_numpy()]
+            yield scan(False)
+            if len(c) > 1:
+                before = int(common_prefix(tree[-2:], path[-2:])[0])
+            tree, path, c = tree[-1:], path[-1:], c[-1:]
+    if len(c):
+        yield scan(True)
+
+
+def _keyed(depth: int):
+    """Signatures -> keys at a depth of the row's own tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
-            keys = tree_keys(sig, depth)
-            c = batch.column("c").to_numpy()
-            if trees_given:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
                 tree = batch.column("tree").to_numpy()
-                keys, trees = keys[np.arange(len(c)), tree], tree
-            else:
-                keys, trees, c = keys.ravel(), np.tile(np.arange(TREES, dtype=np.int32), len(c)), np.repeat(c, TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(trees, type=pa.int32()), pa.array(keys)], ["c", "tree", "key"])
+                keys = tree_keys(sig, depth)[np.arange(len(sig)), tree]
+                yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(tree, type=pa.int32()), pa.array(keys)], ["c", "tree", "key"])
 
     return run
 
@@ -167,8 +223,10 @@ def _region_links(percent: int):
             u, v = [], []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 n = np.array([len(s) for s in sets[a:b]])
+                if side[a] == side[b - 1] and side[a]:  # a block without its other one
+                    continue
                 if side[a] != side[b - 1]:  # two blocks, one against the other
-                    k = a + side[a:b].index(1)
+                    k = a + side[a:b].index(2)
                     both = intersections(sets[a:k], sets[k:b])
                     i, j = np.nonzero(100 * both >= percent * (n[: k - a, None] + n[None, k - a :] - both))
                     full = np.zeros((b - a, b - a), dtype=bool)
@@ -183,7 +241,8 @@ def _region_links(percent: int):
                 moved = np.flatnonzero(label != np.arange(b - a))
                 u.append(c[a + moved])
                 v.append(c[a + label[moved]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
     return run
 
@@ -203,7 +262,7 @@ class Forest:
         regions = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("a"), F.max("c").alias("b")).where("k > 1")
         once = regions.groupBy("k", "x", "a", "b").agg(F.min(F.struct("tree", "key")).alias("r")).select("k", "r.tree", "r.key")
         once, once_at = kept(once, "regions")
-        members, members_at = kept(rows.join(once, ["tree", "key"]).select("tree", "key", "c", "k"), "members")
+        members, members_at = kept(rows.join(once, ["tree", "key"]), "members")
         return members.where(F.col("k") <= self.most), members.where(F.col("k") > self.most), [rows_at, once_at, members_at]
 
     def _linked(self, members: DataFrame) -> DataFrame:
@@ -220,13 +279,17 @@ class Forest:
         spark = self.docs.sparkSession
         region = F.xxhash64("tree", "key", "depth").alias("region")
         signed = self.classes.select("c", "sig")
-        small, large, used = self._grown(signed.mapInArrow(_keyed(DEPTH, False), "c long, tree int, key long"))
-        parts = [small.withColumn("depth", F.lit(DEPTH))]
-        hot, depth, first = large, DEPTH, large
+        orders = signed.mapInArrow(_orders, "c long, tree int, path binary").repartitionByRange("tree", "path", "c").sortWithinPartitions("tree", "path", "c")
+        small, large, used = self._grown(orders.mapInArrow(_neighbours, "c long, tree int, key long, after long"))
+        parts = [small.select("c", "tree", "key", F.lit(DEPTH).alias("depth"))]
+        # neighbours in the order of a large region
+        pairs = large.where("after IS NOT NULL").select(F.least("c", "after").alias("a"), F.greatest("c", "after").alias("b")).distinct()
+        parts.append(pairs.select(F.explode(F.array("a", "b")).alias("c"), F.lit(-1).alias("tree"), F.xxhash64("a", "b").alias("key"), F.lit(DEPTH).alias("depth")))
+        hot, depth, first = large, DEPTH, large.select("tree", "key", "c", "k")
         while depth < WIDTH and not hot.isEmpty():
-            depth = min(2 * depth, WIDTH)
-            small, hot, more = self._grown(hot.join(signed, "c").mapInArrow(_keyed(depth, True), "c long, tree int, key long"))
-            parts.append(small.withColumn("depth", F.lit(depth)))
+            depth = depth + depth // 2 if depth < PATH else min(2 * depth, WIDTH)
+            small, hot, more = self._grown(hot.select("c", "tree").join(signed, "c").mapInArrow(_keyed(depth), "c long, tree int, key long"))
+            parts.append(small.select("c", "tree", "key", F.lit(depth).alias("depth")))
             used += more
         found = parts[0]
         for p in parts[1:]:
@@ -238,17 +301,21 @@ class Forest:
         return links
 
     def _blocks(self, large: DataFrame, links: DataFrame) -> DataFrame:
-        """Large regions as pairs of blocks of at most about `most` members, but for pairs within the region's main component."""
+        """Large regions as pairs of blocks of at most about `most` members, but for pairs within the region's main component.
+
+        Blocks of the main component meet those of the rest only; a region without a rest has none. Sides are 1 and 2, or 0 in a block of its own.
+        """
         joined = large.join(components(links).select(F.col("u").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
         joined, _ = kept(joined, "large")
-        main = joined.groupBy("tree", "key", "k", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("tree", "key", "k").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-        blocks = F.ceil(F.col("k") * 4 / self.most).cast("int")
-        dealt = joined.join(main, ["tree", "key", "k"]).select("tree", "key", "c", (F.col("component") == F.col("main")).alias("in_main"), blocks.alias("blocks"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"))
+        main = joined.groupBy("tree", "key", "k", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("tree", "key", "k").agg(F.max(F.struct("m", "component")).alias("main"))
+        main = main.where("main.m < k").select("tree", "key", "main.component", F.ceil(F.col("main.m") * 4 / self.most).cast("int").alias("first"), F.ceil((F.col("k") - F.col("main.m")) * 4 / self.most).cast("int").alias("rest"))
+        dealt = joined.join(main.withColumnRenamed("component", "main"), ["tree", "key"]).withColumn("in_main", F.col("component") == F.col("main"))
         # a block's number: those of the main component first
-        dealt = dealt.withColumn("me", F.expr("IF(in_main, block, blocks + block)"))
-        other = dealt.withColumn("other", F.explode(F.expr("sequence(0, 2 * blocks - 1)"))).where("NOT (in_main AND other < blocks)")
+        block = F.expr("IF(in_main, CAST(pmod(xxhash64(c), first) AS INT), first + CAST(pmod(xxhash64(c), rest) AS INT))")
+        dealt = dealt.select("tree", "key", "c", block.alias("me"), F.explode(F.expr("IF(in_main, sequence(first, first + rest - 1), sequence(0, first + rest - 1))")).alias("other"))
         lower, upper = F.least("me", "other"), F.greatest("me", "other")
-        return other.select(F.xxhash64("tree", "key", lower, upper).alias("region"), F.when(F.col("me") <= F.col("other"), 0).otherwise(1).alias("side"), "c")
+        side = F.when(F.col("me") == F.col("other"), 0).when(F.col("me") < F.col("other"), 1).otherwise(2)
+        return dealt.select(F.xxhash64("tree", "key", lower, upper).alias("region"), side.alias("side"), "c")
 
     def components(self) -> DataFrame:
         """doc_id, component of each document that isn't the smallest of its component, by document."""

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from hopweave.llm import minhash_dedup
 from hopweave.llm.components import components
 from hopweave.llm.minhash_dedup import near_duplicates
 
@@ -68,3 +70,49 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 200), (101, 102), (102, 100)]
     got = dict(components(spark.createDataFrame(path, "u long, v long")).collect())
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_orders_are_sorted_and_scanned(spark):
+    r = np.random.default_rng(1)
+    sig = r.integers(0, 2, (300, minhash_dedup.WIDTH), dtype=np.uint32)
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sig)], "c long, sig binary")
+    rows = df.repartition(3).mapInArrow(minhash_dedup._orders, "c long, tree int, path binary").repartitionByRange(5, "tree", "path", "c").sortWithinPartitions("tree", "path", "c")
+    got = {}
+    for x in rows.mapInArrow(minhash_dedup._neighbours, "c long, tree int, key long").collect():
+        got.setdefault((x.tree, x.key), set()).add(x.c)
+    got = {(t, frozenset(v)) for (t, _), v in got.items() if len(v) > 1}
+    turn = lambda t, k: [(t * minhash_dedup.DEPTH + j) % minhash_dedup.WIDTH for j in range(k)]
+    want = set()
+    for t in range(minhash_dedup.TREES):
+        by = {}
+        for i in range(300):
+            by.setdefault(tuple(sig[i, turn(t, 4)]), set()).add(i)
+        want |= {(t, frozenset(v)) for v in by.values() if len(v) > 1}
+    assert want <= got and all(len(v) == 2 and len({tuple(sig[i, turn(t, 3)]) for i in v}) == 1 for t, v in got - want)
+
+
+def near_copies(n, seed, words=300):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        ws = list(base)
+        ws[r.randrange(words)] = f"x{i}"
+        rows.append((i, " ".join(ws)))
+    return rows
+
+
+def test_blocks_of_one_connected_group_are_none(spark, monkeypatch):
+    sizes = []
+    real = minhash_dedup.Forest._blocks
+    monkeypatch.setattr(minhash_dedup.Forest, "_blocks", lambda *a: sizes.append((out := real(*a)).count()) or out)
+    for n in (100, 200):
+        got = near_duplicates(spark.createDataFrame(near_copies(n, 4), "doc_id long, text string"), 3, 85, 16).collect()
+        assert {x.component_id for x in got} == {0}
+    assert sizes == [0, 0]
+
+
+def test_rows_that_repeat(spark):
+    rows = near_copies(3, 5, 120) * 700 + [(None, "a b c d")] * 50
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows) and {(x.doc_id, x.component_id, x.kept) for x in got} == {(0, 0, True), (1, 0, False), (2, 0, False), (None, None, True)}
