@@ -2,19 +2,29 @@
 
 A token's probability is that of its class after the tokens before it, times its own within the class. The `COMMON`
 most frequent words are clustered by the words around them; every other word has a class by its shape (how it ends, its
-length, whether it is ASCII), so words never seen have one too. A class is given by a softmax over sums of weights,
-one for the word before, the two before together, and, as skips, the second and third before, each hashed into its
-table. Within a class words have the share of their counts (add `ALPHA`, with one more unknown word in classes by shape).
+length, whether it is ASCII), so words never seen have one too.
 
-Counts, surroundings for the clusters and gradients are gathered from all training documents: every task starts
-from the same weights, takes adaptive gradient steps over all its tokens and hands back its weights; these are averaged,
-each row by how often a task has met it, in two rounds of sums, so no task holds more than one table. The model
-has a fixed size (about 6 MB). Counts are broadcast for the most frequent words only, `KNOWN` at most; other
-words' counts are joined.
+A class is given by a softmax over sums of weights, one for the word before, the two before together, and, as skips, the
+second and third before, each hashed into its table. All words are in these contexts under their own hash; in the
+table of the word before, common words have rows of their own. The tables grow with the vocabulary that was counted, up
+to `MAX_BITS` bits, since each task sends a table's worth of sums in each round. Within a cluster a word is given by a
+second softmax, whose weights are for the classes of the word before and of the second before; rare words have the share
+of their counts in their class (add `ALPHA`, with one more unknown word).
+
+Everything is learnt from sums over all training documents: counts of words, of what stands around common words, and of
+classes and common words in their contexts. The class weights begin at the contexts' (damped) logarithms of observed shares
+and are corrected in `ROUNDS` rounds of gradient updates, each over the documents of one remainder of their text's hash:
+tasks sum, for each row and class, how often the class came and how much of it was expected; only the sum over all
+tasks moves the weights. The sums are of integers (expected shares to 16 bits), so the model does not depend on
+how documents are dealt to tasks. The words' weights are found by gradient updates on the summed counts, which are all
+that they depend on.
+
+Counts are broadcast for the most frequent words only, `KNOWN` at most; other words' counts are joined.
 
 Nulls and the like: null and empty texts are one end token; null doc_ids are training documents and are scored;
 rows that repeat a doc_id are scored one by one; extra columns are ignored; an empty table gives no rows, and without
-training documents the model has its initial weights and all counts are 0.
+training documents the model has its initial weights and all counts are 0. A text is held whole by a task, at about 100
+bytes a byte.
 """
 
 from __future__ import annotations
@@ -34,11 +44,17 @@ from .textcore import U64, Chunk, as_bytes, chunks, mix
 ALPHA, COMMON, CLUSTERS, SHAPES, KNOWN = 0.1, 4096, 32, 16, 1 << 20
 CLASSES = CLUSTERS + SHAPES
 BINS = 128
-#: Rows of the tables of features: the word before, the second, the third, and the two before together.
-TABLES = (1 << 12, 1 << 12, 1 << 11, 1 << 13)
-ROWS, BATCH, BLOCK = sum(TABLES), 1 << 14, 512
+#: Rounds of gradient updates, the largest table of features, and how the tables (the word before, the second, the third, the two before together) compare with it.
+ROUNDS, MAX_BITS, SMALLER = 4, 13, (0, 1, 2, 0)
+#: Damping of observed shares, how much of each table's the first weights have, and the step of the first round (less in each later one).
+PRIOR, FIRST, STEP = 10.0, (0.6, 0.25, 0.15, 0.6), 0.8
+#: Expected shares are summed in units of one in 2**16.
+UNIT = 1 << 16
+BATCH, BLOCK = 1 << 14, 512
 END_HASH = 0x6C9E3C5A7F1B2D43
-START, END = COMMON + SHAPES, COMMON + SHAPES + 1
+#: What stands before a document: as a code of a word, and as a class.
+START, START_CLASS = COMMON, CLASSES
+CONTEXTS = CLASSES + 1
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -101,41 +117,66 @@ class Words:
 class Model:
     words: Words
     clusters: np.ndarray  # of the common words
+    tables: tuple[int, ...]  # rows of each table of features
     weights: np.ndarray
     bias: np.ndarray
-
-    def contexts(self, h: np.ndarray, shape: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in words, class, and rows of features, of each token."""
+    #: Logarithms of a common word's share of its class without context, what the classes of the word before and of the
+    #: second before add, and of the sums that these are divided by (class, class before, second before).
+    word: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    norm: np.ndarray
+
+    def placed(self, h: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place in words, number (or -1), class and code of each token."""
         place = self.words.find(h)
         number = np.where(place >= 0, self.words.number[place], -1) if len(self.words.h) else np.full(len(h), -1)
         common = number >= 0
         kind = np.where(common, self.clusters[np.maximum(number, 0)], CLUSTERS + np.minimum(shape, SHAPES - 1))
-        ids = np.where(common, number, COMMON + np.minimum(shape, SHAPES - 1))
-        return place, kind, features(before(ids, begin))
+        return place, number, kind, coded(number, h)
+
+    def in_cluster(self, number: np.ndarray, kind: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 of the chance of common words within their class, after the classes one and two before."""
+        return (self.word[number] + self.first[one, number] + self.second[two, number] - self.norm[kind, one, two]) / np.log(10)
 
 
-def before(ids: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+def coded(number: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Common words by number, all others by hash."""
+    return np.where(number >= 0, number.astype(U64), h | U64(1 << 63))
+
+
+def before(ids: np.ndarray, begin: np.ndarray, start: int = START) -> list[np.ndarray]:
     """The first, second and third token before each one in its document."""
     out = []
     for d in (1, 2, 3):
-        x = np.full(len(ids), START)
+        x = np.full(len(ids), start, dtype=ids.dtype)
         x[d:] = ids[:-d]
         for k in range(d):
             at = begin + k
             at = at[at < len(ids)]
             own = begin[np.searchsorted(begin, at, side="right") - 1] + k == at
-            x[at[own]] = START
+            x[at[own]] = start
         out.append(x)
     return out
 
 
-def features(prior: list[np.ndarray]) -> np.ndarray:
-    one, two, three = (p.astype(U64) for p in prior)
-    rows, at = [], 0
-    for size, x in zip(TABLES, (one, two, three, one * U64(COMMON * 2) + two), strict=True):
-        rows.append((mix(x + U64((at + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & U64(size - 1)).astype(np.int64) + at)
+def table_sizes(vocabulary: int) -> tuple[int, ...]:
+    bits = min(max(int(vocabulary).bit_length() - 4, 9), MAX_BITS)
+    return tuple(1 << bits - less for less in SMALLER)
+
+
+def features(prior: list[np.ndarray], tables: tuple[int, ...]) -> np.ndarray:
+    """The rows of each token's features, in all tables put together."""
+    one, two, three = prior
+    # scrambled once: the second and third before are the first of earlier tokens
+    a, b, c = mix(one), mix(two + U64(1 << 40)), mix(three + U64(2 << 40))
+    size = tables[0]
+    first = np.where(one < COMMON, one, U64(COMMON) + (a & U64(size - COMMON - 1))) if size == 2 * COMMON else a & U64(size - 1)
+    rows, at = np.empty((len(one), len(tables)), dtype=np.int64), 0
+    for j, (size, x) in enumerate(zip(tables, (first, b, c, mix(a * U64(3) + b)), strict=True)):
+        rows[:, j] = (x & U64(size - 1)).astype(np.int64) + at
         at += size
-    return np.column_stack(rows)
+    return rows
 
 
 def class_chances(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -148,54 +189,96 @@ def class_chances(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np
     return y
 
 
-def descend(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, met: np.ndarray, rows: np.ndarray, kind: np.ndarray, rate: float = 0.15) -> None:
-    """One adaptive gradient step over a batch; its rows are changed in place."""
-    g = class_chances(weights, bias, rows)
-    g[np.arange(len(kind)), kind] -= 1
+def residues(sums: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> None:
+    """Adds to the sums of each row and class how often it came less what was expected, in units, of a batch."""
+    came = np.rint(class_chances(weights, bias, rows) * np.float32(-UNIT)).astype(np.int32)
+    came[np.arange(len(kind)), kind] += UNIT
     for j in range(rows.shape[1]):
         by = np.argsort(rows[:, j], kind="stable")
         r = rows[by, j]
         cut = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1]
-        d = np.add.reduceat(g[by], cut)
-        r, n = r[cut], np.diff(np.r_[cut, len(by)])
-        met[r] += n
-        squares[r] += d * d
-        weights[r] -= rate * d / np.sqrt(squares[r])
+        sums[r[cut]] += np.add.reduceat(came[by], cut)
+
+
+def first_weights(seen: np.ndarray, share: np.ndarray, tables: tuple[int, ...]) -> np.ndarray:
+    """Weights from how often each class came in each row: damped logarithms of its share there over its share of all."""
+    damped = (seen + PRIOR * share) / (seen.sum(axis=1, keepdims=True) + PRIOR)
+    return np.log(damped / share) * np.repeat(FIRST, tables)[:, None]
+
+
+def moved(weights: np.ndarray, sums: np.ndarray, seen: np.ndarray, done: int, rounds: int) -> np.ndarray:
+    """Weights after a round: each goes along its gradient, by no more than its own count allows."""
+    return weights + np.clip(STEP / (1 + 0.4 * done) * sums / UNIT / (seen / rounds + PRIOR), -1, 1)
+
+
+def word_softmax(n1: np.ndarray, n2: np.ndarray, joint: np.ndarray, label: np.ndarray, rounds: int = 40, prior: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of common words within their classes, by gradient updates.
+
+    n1 and n2: how often each word came after each class of the word before and of the second before; joint: how often each
+    class came after both. The gradient (came less expected) depends on no more than these.
+    """
+    total = n1.sum(axis=0)
+    word = np.zeros(COMMON)
+    first, second = np.zeros((CONTEXTS, COMMON)), np.zeros((CONTEXTS, COMMON))
+    norm = np.zeros((CLASSES, CONTEXTS, CONTEXTS))
+    for k in range(CLUSTERS):
+        own = np.flatnonzero((label == k) & (total > 0))
+        if not len(own):
+            continue
+        word[own] = np.log(total[own] / total[own].sum())
+        a, b = np.zeros((CONTEXTS, len(own))), np.zeros((CONTEXTS, len(own)))
+        one, two, n = n1[:, own], n2[:, own], joint[k]
+        for r in range(rounds + 1):
+            p = word[own] + a[:, None, :] + b[None, :, :]
+            p -= p.max(axis=2, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(axis=2, keepdims=True)
+            if r < rounds:
+                p *= n[:, :, None]
+                e1, e2 = p.sum(axis=1), p.sum(axis=0)
+                a += np.clip(0.5 * (one - e1 - prior * a) / (np.maximum(one, e1) + prior), -1, 1)
+                b += np.clip(0.5 * (two - e2 - prior * b) / (np.maximum(two, e2) + prior), -1, 1)
+        first[:, own], second[:, own] = a, b
+        norm[k] = np.log(np.exp(word[own] + a[:, None, :] + b[None, :, :]).sum(axis=2))
+    return word, first, second, norm
 
 
 def _sums(parts: DataFrame) -> DataFrame:
-    """block, salt, values (float64 vectors) -> their sums by block, first by salt too; a task holds one sum at a time."""
+    """block, salt, values (int64 vectors) -> their sums by block, first by salt too; a task holds one sum at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "salt", "values"])
         for batch in batches:
             for block, salt, values in zip(*(batch.column(k).to_pylist() for k in ("block", "salt", "values")), strict=True):
                 if key != (block, salt):
                     if key is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "salt", "values"])
-                    key, total = (block, salt), np.zeros(len(values) // 4)
-                total += np.frombuffer(values, dtype=np.float32)
+                        yield made()
+                    key, total = (block, salt), np.zeros(len(values) // 8, dtype=np.int64)
+                total += np.frombuffer(values, dtype=np.int64)
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "salt", "values"])
+            yield made()
 
-    once = parts.repartition("block", "salt").sortWithinPartitions("block", "salt", "part").drop("part").mapInArrow(run, "block int, salt int, values binary")
-    return once.withColumn("part", F.col("salt")).withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block", "part").drop("part").mapInArrow(run, "block int, salt int, values binary")
+    once = parts.repartition("block", "salt").sortWithinPartitions("block", "salt").mapInArrow(run, "block int, salt int, values binary")
+    return once.withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, salt int, values binary")
 
 
-_PART = "block int, salt int, part int, values binary"
+_PART = "block int, salt int, values binary"
 
 
 def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's table in blocks, but for those that are empty."""
     part = TaskContext.get().partitionId()
     for b in range(0, len(table), BLOCK):
-        yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([part], pa.int32()), pa.array([table[b : b + BLOCK].astype(np.float32).tobytes()], pa.binary())], ["block", "salt", "part", "values"])
+        if table[b : b + BLOCK].any():
+            yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([table[b : b + BLOCK].astype(np.int64).tobytes()], pa.binary())], ["block", "salt", "values"])
 
 
 def _gathered(parts: DataFrame, rows: int, width: int) -> np.ndarray:
     """The sum of a table of a fixed size over all tasks; only the sum comes to the driver."""
-    out = np.zeros((rows, width))
+    out = np.zeros((rows, width), dtype=np.int64)
     for r in _sums(parts).collect():
-        values = np.frombuffer(r["values"], dtype=np.float32).reshape(-1, width)
+        values = np.frombuffer(r["values"], dtype=np.int64).reshape(-1, width)
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(values)] = values
     return out
 
@@ -223,22 +306,42 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+class _Cells:
+    """Counts of cells of a table, put together every million."""
+
+    def __init__(self, size: int):
+        self.table, self.held, self.n = np.zeros(size, dtype=np.int64), [], 0
+
+    def add(self, cells: np.ndarray) -> None:
+        self.held.append(cells)
+        self.n += len(cells)
+        if self.n > 1 << 20:
+            self.flush()
+
+    def flush(self) -> np.ndarray:
+        if self.held:
+            self.table += np.bincount(np.concatenate(self.held), minlength=len(self.table))
+            self.held, self.n = [], 0
+        return self.table
+
+
 def _surroundings(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Words = shared.value
-        table = np.zeros(COMMON * BINS, dtype=np.int64)
+        cells = _Cells(COMMON * BINS)
         for batch in batches:
             for c in chunks(as_bytes(batch.column("text"))):
-                h, s, begin = tokens(c)
+                h, _, begin = tokens(c)
                 place = words.find(h)
                 number = np.where(place >= 0, words.number[place], -1) if len(words.h) else np.full(len(h), -1)
-                ids = np.where(number >= 0, number, COMMON + np.minimum(s, SHAPES - 1))
-                for x in before(ids, begin)[:2]:
-                    a = np.flatnonzero(number >= 0)
-                    np.add.at(table, number[a] * BINS + (mix(x[a].astype(U64)) & U64(BINS - 1)).astype(np.int64), 1)
+                code = coded(number, h)
+                a = np.flatnonzero(number >= 0)
+                behind = mix(code + U64(77)) & U64(BINS - 1)
+                for x in before(code, begin)[:2]:
+                    cells.add(number[a] * BINS + (mix(x[a]) & U64(BINS - 1)).astype(np.int64))
                     b = np.flatnonzero(x < COMMON)
-                    np.add.at(table, x[b] * BINS + (mix(ids[b].astype(U64) + U64(77)) & U64(BINS - 1)).astype(np.int64), 1)
-        yield from _blocks(table.reshape(COMMON, BINS))
+                    cells.add((x[b] * U64(BINS) + behind[b]).astype(np.int64))
+        yield from _blocks(cells.flush().reshape(COMMON, BINS))
 
     return run
 
@@ -259,18 +362,44 @@ def clusters(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return label
 
 
-def _trained(shared):
+#: Rows of the table of observations behind those of the features: common words after a class, after a second class, and classes after both.
+_MORE = (CONTEXTS * COMMON // CLASSES + 1, CONTEXTS * COMMON // CLASSES + 1, CONTEXTS * CONTEXTS)
+
+
+def _observed(shared):
+    """How often classes came in each row of features, and common words and classes after classes: one table, CLASSES wide."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        weights, bias = model.weights.copy(), model.bias
-        squares, met = np.full(weights.shape, 1.0, dtype=np.float32), np.zeros(len(weights))
+        ends = np.cumsum([sum(model.tables), *_MORE]) * CLASSES
+        cells = _Cells(int(ends[-1]))
         for batch in batches:
             for c in chunks(as_bytes(batch.column("text"))):
-                _, kind, rows = model.contexts(*tokens(c))
+                h, shape, begin = tokens(c)
+                _, number, kind, code = model.placed(h, shape)
+                cells.add((features(before(code, begin), model.tables) * CLASSES + kind[:, None]).ravel())
+                one, two, _ = before(kind, begin, START_CLASS)
+                at = np.flatnonzero(number >= 0)
+                cells.add(ends[0] + one[at] * COMMON + number[at])
+                cells.add(ends[1] + two[at] * COMMON + number[at])
+                cells.add(ends[2] + (one * CONTEXTS + two) * CLASSES + kind)
+        yield from _blocks(cells.flush().reshape(-1, CLASSES))
+
+    return run
+
+
+def _residues(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        sums = np.zeros(model.weights.shape, dtype=np.int64)
+        for batch in batches:
+            for c in chunks(as_bytes(batch.column("text"))):
+                h, shape, begin = tokens(c)
+                _, _, kind, code = model.placed(h, shape)
+                rows = features(before(code, begin), model.tables)
                 for a in range(0, len(kind), BATCH):
-                    descend(weights, bias, squares, met, rows[a : a + BATCH], kind[a : a + BATCH])
-        delta = (weights - model.weights) * met[:, None]
-        yield from _blocks(np.column_stack([delta, met]))
+                    residues(sums, model.weights, model.bias, rows[a : a + BATCH], kind[a : a + BATCH])
+        yield from _blocks(sums)
 
     return run
 
@@ -285,15 +414,20 @@ def _scored(shared, totals):
             ids, tks, held = (batch.column(k) for k in ("did", "tk", "held_out"))
             for c in chunks(as_bytes(batch.column("text"))):
                 h, shape, begin = tokens(c)
-                place, kind, rows = model.contexts(h, shape, begin)
+                place, number, kind, code = model.placed(h, shape)
+                rows = features(before(code, begin), model.tables)
                 chance = np.empty(len(h))
                 for a in range(0, len(h), BATCH):
                     p = class_chances(model.weights, model.bias, rows[a : a + BATCH])
                     chance[a : a + BATCH] = np.log10(p[np.arange(len(p)), kind[a : a + BATCH]])
                 found = place >= 0
                 word = np.where(found, in_class[place] if len(in_class) else 0.0, 0.0 if words.least > 1 else np.log10(ALPHA))
+                share = word - per_class[kind]
+                one, two, _ = before(kind, begin, START_CLASS)
+                common = np.flatnonzero(number >= 0)
+                share[common] = model.in_cluster(number[common], kind[common], one[common], two[common])
                 base = np.add.reduceat(word - np.log10(every + ALPHA * (kinds + 1)), begin)
-                score = np.add.reduceat(word + chance - per_class[kind], begin)
+                score = np.add.reduceat(share + chance, begin)
                 known = np.add.reduceat(found.astype(np.int64), begin)
                 n = np.diff(np.r_[begin, len(h)])
                 # words whose counts have to be joined: once for each document, with how often
@@ -318,7 +452,7 @@ def _scored(shared, totals):
 class LanguageModel:
     """The model of some training texts, and the counts that it rests on."""
 
-    def __init__(self, texts: DataFrame, rounds: int = 1):
+    def __init__(self, texts: DataFrame, rounds: int = ROUNDS):
         spark: SparkSession = texts.sparkSession
         self.counts, _ = kept(texts.mapInArrow(_counted, "h long, shape int, c long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("c").alias("c")), "counts")
         # how many words have each count; the least count of which all fit in the broadcast
@@ -354,13 +488,26 @@ class LanguageModel:
         np.add.at(kind_n, label[: len(by)], count[by])
         np.add.at(kind_v, label[: len(by)], 1)
         self.per_class = np.log10(np.maximum(kind_n + ALPHA * (kind_v + (np.arange(CLASSES) >= CLUSTERS)), 1e-300))
-        bias = np.log(kind_n + 1).astype(np.float32)
-        self.model = Model(self.words, label, np.zeros((ROWS, CLASSES), dtype=np.float32), bias)
-        for _ in range(rounds):
-            shared = spark.sparkContext.broadcast(self.model)
-            total = _gathered(texts.mapInArrow(_trained(shared), _PART), ROWS, CLASSES + 1)
-            step = total[:, :-1] / np.maximum(total[:, -1:], 1)
-            self.model = Model(self.words, label, self.model.weights + step.astype(np.float32), bias)
+        share = (kind_n + 1) / (kind_n + 1).sum()
+        tables = table_sizes(int(self.kinds))
+        none = np.zeros((CONTEXTS, COMMON))
+        model = Model(self.words, label, tables, np.zeros((sum(tables), CLASSES), dtype=np.float32), np.log(share).astype(np.float32), np.zeros(COMMON), none, none, np.zeros((CLASSES, CONTEXTS, CONTEXTS)))
+        shared = spark.sparkContext.broadcast(model)
+        seen, n1, n2, joint = np.split(_gathered(texts.mapInArrow(_observed(shared), _PART), sum(tables) + sum(_MORE), CLASSES), np.cumsum([sum(tables), *_MORE])[:-1])
+        n1, n2 = (n.ravel()[: CONTEXTS * COMMON].reshape(CONTEXTS, COMMON) for n in (n1, n2))
+        model.word, model.first, model.second, model.norm = word_softmax(n1, n2, joint.reshape(CONTEXTS, CONTEXTS, CLASSES).transpose(2, 0, 1), label)
+        weights = first_weights(seen, share, tables)
+        #: Of each round, the mean residue of a cell, in absolute value, of those cells that have been seen: it falls while the model learns.
+        self.residues = []
+        for r in range(rounds):
+            model.weights = weights.astype(np.float32)
+            shared = spark.sparkContext.broadcast(model)
+            own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+            sums = _gathered(own.mapInArrow(_residues(shared), _PART), sum(tables), CLASSES)
+            self.residues.append(float(np.abs(sums).sum() / UNIT / max(seen.sum(), 1)))
+            weights = moved(weights, sums, seen, r, rounds)
+        model.weights = weights.astype(np.float32)
+        self.model = model
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Scores of (doc_id, held_out, text)."""

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hopweave.llm import language_model as L
 from hopweave.llm.textcore import Chunk
@@ -44,34 +45,71 @@ def test_counts_and_base(spark, monkeypatch, known):
 def test_chances_sum_to_one(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60").select("text")
     lm = L.LanguageModel(docs)
+    m = lm.model
     shape = np.array([r["shape"] for r in lm.counts.collect()])
     h = np.array([r["h"] for r in lm.counts.collect()], dtype=np.int64).view(np.uint64)
-    place = lm.words.find(h)
+    place, number, kind, _ = m.placed(h, shape)
     assert (place >= 0).all() and (lm.words.find(h + np.uint64(1)) < 0).sum() > 0.99 * len(h)
-    number = lm.words.number[place]
-    kind = np.where(number >= 0, lm.model.clusters[np.maximum(number, 0)], L.CLUSTERS + np.minimum(shape, L.SHAPES - 1))
-    share = 10 ** (np.log10(lm.words.count[place] + L.ALPHA) - lm.per_class[kind])
-    total = np.bincount(kind, share, minlength=L.CLASSES)
+    rare = number < 0
+    total = np.bincount(kind[rare], 10 ** (np.log10(lm.words.count[place[rare]] + L.ALPHA) - lm.per_class[kind[rare]]), minlength=L.CLASSES)
     total[L.CLUSTERS :] += L.ALPHA * 10 ** -lm.per_class[L.CLUSTERS :]
-    assert np.allclose(total[np.unique(kind)], 1)
-    _, kinds, rows = lm.model.contexts(*L.tokens(Chunk([0], [b"the of and the end."])))
-    assert np.allclose(L.class_chances(lm.model.weights, lm.model.bias, rows).sum(axis=1), 1, atol=1e-5) and len(kinds) == 6
+    assert np.allclose(total[np.unique(kind[rare])], 1)
+    at = np.flatnonzero(~rare)
+    for one, two in ((3, 40), (L.START_CLASS, L.START_CLASS), (0, 31)):
+        share = 10 ** m.in_cluster(number[at], kind[at], np.full(len(at), one), np.full(len(at), two))
+        assert np.allclose(np.bincount(kind[at], share, minlength=L.CLUSTERS)[np.unique(kind[at])], 1)
+    hashes, shapes, begin = L.tokens(Chunk([0], [b"the of and the end."]))
+    rows = L.features(L.before(m.placed(hashes, shapes)[3], begin), m.tables)
+    assert rows.shape == (6, 4) and np.allclose(L.class_chances(m.weights, m.bias, rows).sum(axis=1), 1, atol=1e-5)
 
 
-def test_gradient():
+def test_residues_are_the_gradient():
     r = np.random.default_rng(0)
     rows = np.column_stack([r.integers(0, 5, 200) + 10 * j for j in range(4)])
-    kind = (rows[:, 0] % 5 + 2 * (r.random(200) < 0.1)).astype(int)
-    w, b = np.zeros((40, 48), np.float32), np.zeros(48, np.float32)
-    loss = lambda: -np.log(L.class_chances(w, b, rows)[np.arange(200), kind]).mean()
-    first = loss()
-    for _ in range(60):
-        L.descend(w, b, np.ones_like(w), np.zeros(40), rows, kind, 0.01)
-    assert loss() < 0.5 * first
+    kind = r.integers(0, 48, 200)
+    w, b = r.normal(0, 0.5, (40, 48)).astype(np.float32), np.zeros(48, np.float32)
+    sums = np.zeros(w.shape, dtype=np.int64)
+    for a in (0, 70):
+        L.residues(sums, w, b, rows[a : a + 70 if not a else None], kind[a : a + 70 if not a else None])
+
+    def gain(x):
+        y = (x[rows].sum(axis=1) + b).astype(np.float64)
+        return (y[np.arange(200), kind] - np.log(np.exp(y).sum(axis=1))).sum()
+
+    for i, k in ((0, 3), (13, 7), (24, 47), (31, 0)):
+        up, down = w.astype(np.float64), w.astype(np.float64)
+        up[i, k] += 1e-4
+        down[i, k] -= 1e-4
+        assert abs((gain(up) - gain(down)) / 2e-4 - sums[i, k] / L.UNIT) < 1e-2
+
+
+def test_word_softmax_meets_its_counts():
+    r = np.random.default_rng(2)
+    label = np.zeros(L.COMMON, dtype=np.int64)
+    own = r.dirichlet(np.ones(6), (L.CONTEXTS, L.CONTEXTS))
+    times = np.zeros((L.CONTEXTS, L.CONTEXTS))
+    times[:3, :3] = 400
+    n1, n2, joint = np.zeros((L.CONTEXTS, L.COMMON)), np.zeros((L.CONTEXTS, L.COMMON)), np.zeros((L.CLASSES, L.CONTEXTS, L.CONTEXTS))
+    cell = own * times[:, :, None]
+    n1[:, :6], n2[:, :6], joint[0] = cell.sum(axis=1), cell.sum(axis=0), times
+    word, first, second, norm = L.word_softmax(n1, n2, joint, label, rounds=200, prior=1e-3)
+    p = np.exp(word[:6] + first[:, None, :6] + second[None, :, :6] - norm[0][:, :, None])
+    assert np.allclose(p.sum(axis=2), 1) and np.allclose((p * times[:, :, None]).sum(axis=1)[:3], n1[:3, :6], atol=2) and np.allclose((p * times[:, :, None]).sum(axis=0)[:3], n2[:3, :6], atol=2)
+
+
+def test_layout_and_rounds(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 400")
+    rows = spark.createDataFrame(docs.collect() + [(5, "the the of zzqq")] * 40, "doc_id long, text string")
+    scores = [sorted((x.doc_id, x.n_tokens, x.score) for x in L.language_model(rows.repartition(n, F.rand(n))).collect()) for n in (1, 4, 9)]
+    for other in scores[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in scores[0]] and np.allclose([x[2] for x in other], [x[2] for x in scores[0]], rtol=1e-9)
+    own = rows.select("doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "text")
+    held = [sum(x.score for x in L.LanguageModel(own.where("NOT held_out").select("text"), n).score(own).where("held_out").collect()) for n in (0, 4)]
+    assert held[1] > held[0]
 
 
 def test_tokens_before():
-    ids, begin = np.array([1, 2, 3, 4, 5]), np.array([0, 3])
+    ids, begin = np.array([1, 2, 3, 4, 5], dtype=np.uint64), np.array([0, 3])
     one, two, three = L.before(ids, begin)
     s = L.START
     assert one.tolist() == [s, 1, 2, s, 4] and two.tolist() == [s, s, 1, s, s] and three.tolist() == [s, s, s, s, s]
