@@ -51,6 +51,8 @@ PRIOR, FIRST, STEP = 10.0, (0.6, 0.25, 0.15, 0.6), 0.8
 #: Expected shares are summed in units of one in 2**16.
 UNIT = 1 << 16
 BATCH, BLOCK = 1 << 14, 512
+#: Tokens of a row that are summed one by one with others' (see `row_sums`).
+LONG = 16
 END_HASH = 0x6C9E3C5A7F1B2D43
 #: What stands before a document: as a code of a word, and as a class.
 START, START_CLASS = COMMON, CLASSES
@@ -180,24 +182,45 @@ def features(prior: list[np.ndarray], tables: tuple[int, ...]) -> np.ndarray:
 
 
 def class_chances(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Chance of each class for each token. Sums of weights are under 40 or so, far from what float32 can't hold."""
     y = bias + weights[rows[:, 0]]
     for j in range(1, rows.shape[1]):
         y += weights[rows[:, j]]
-    y -= y.max(axis=1, keepdims=True)
     np.exp(y, out=y)
     y /= y.sum(axis=1, keepdims=True)
     return y
 
 
-def residues(sums: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> None:
-    """Adds to the sums of each row and class how often it came less what was expected, in units, of a batch."""
-    came = np.rint(class_chances(weights, bias, rows) * np.float32(-UNIT)).astype(np.int32)
-    came[np.arange(len(kind)), kind] += UNIT
+def row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sum of the values (a vector each) of each of them."""
+    by = np.argsort(rows.astype(np.uint16) if MAX_BITS < 15 else rows, kind="stable")
+    r = rows[by]
+    cut = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    size = np.diff(np.r_[cut, len(r)])
+    out = np.empty((len(cut), values.shape[1]), dtype=values.dtype)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = values[by[cut[i] : cut[i] + size[i]]].sum(axis=0)
+    # short ones together, the longest first: their first values, their second ones ...
+    short = np.flatnonzero(size <= LONG)
+    short = short[np.argsort(-size[short], kind="stable")]
+    first, less = cut[short], -size[short]
+    total = values[by[first]]
+    for j in range(1, LONG):
+        n = int(np.searchsorted(less, -j))
+        if not n:
+            break
+        total[:n] += values[by[first[:n] + j]]
+    out[short] = total
+    return r[cut], out
+
+
+def expect(sums: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> None:
+    """Adds to the sums of each row and class how often it is expected, in units, of a batch."""
+    # two classes in an integer of 64 bits: none of a batch's sums goes beyond 32
+    units = np.rint(class_chances(weights, bias, rows) * np.float32(UNIT)).astype(np.int32).view(np.int64)
     for j in range(rows.shape[1]):
-        by = np.argsort(rows[:, j], kind="stable")
-        r = rows[by, j]
-        cut = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1]
-        sums[r[cut]] += np.add.reduceat(came[by], cut)
+        r, total = row_sums(units, rows[:, j])
+        sums[r] += total.view(np.int32)
 
 
 def first_weights(seen: np.ndarray, share: np.ndarray, tables: tuple[int, ...]) -> np.ndarray:
@@ -244,41 +267,49 @@ def word_softmax(n1: np.ndarray, n2: np.ndarray, joint: np.ndarray, label: np.nd
 
 
 def _sums(parts: DataFrame) -> DataFrame:
-    """block, salt, values (int64 vectors) -> their sums by block, first by salt too; a task holds one sum at a time."""
+    """block, salt, values (vectors of integers) -> their sums by block, first by salt too; a task holds one sum at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "salt", "values"])
+        made = lambda: _part(*key, total)
         for batch in batches:
-            for block, salt, values in zip(*(batch.column(k).to_pylist() for k in ("block", "salt", "values")), strict=True):
+            for block, salt, narrow, values in zip(*(batch.column(k).to_pylist() for k in ("block", "salt", "narrow", "values")), strict=True):
+                values = np.frombuffer(values, dtype=np.int32 if narrow else np.int64)
                 if key != (block, salt):
                     if key is not None:
                         yield made()
-                    key, total = (block, salt), np.zeros(len(values) // 8, dtype=np.int64)
-                total += np.frombuffer(values, dtype=np.int64)
+                    key, total = (block, salt), np.zeros(len(values), dtype=np.int64)
+                total += values
         if key is not None:
             yield made()
 
-    once = parts.repartition("block", "salt").sortWithinPartitions("block", "salt").mapInArrow(run, "block int, salt int, values binary")
-    return once.withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, salt int, values binary")
+    once = parts.repartition("block", "salt").sortWithinPartitions("block", "salt").mapInArrow(run, _PART)
+    return once.withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(run, _PART)
 
 
-_PART = "block int, salt int, values binary"
+_PART = "block int, salt int, narrow boolean, values binary"
+
+
+def _part(block: int, salt: int, values: np.ndarray) -> pa.RecordBatch:
+    """A block of sums, of 32 bits where they fit."""
+    narrow = bool(np.abs(values).max(initial=0) < 2**31)
+    data = values.astype(np.int32 if narrow else np.int64).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([narrow]), pa.array([data], pa.binary())], ["block", "salt", "narrow", "values"])
 
 
 def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A task's table in blocks, but for those that are empty."""
+    """A task's table in blocks, but for those that are empty; blocks of 64 tasks are summed first."""
     part = TaskContext.get().partitionId()
     for b in range(0, len(table), BLOCK):
         if table[b : b + BLOCK].any():
-            yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([table[b : b + BLOCK].astype(np.int64).tobytes()], pa.binary())], ["block", "salt", "values"])
+            yield _part(b // BLOCK, part // 64, table[b : b + BLOCK].ravel())
 
 
 def _gathered(parts: DataFrame, rows: int, width: int) -> np.ndarray:
     """The sum of a table of a fixed size over all tasks; only the sum comes to the driver."""
     out = np.zeros((rows, width), dtype=np.int64)
     for r in _sums(parts).collect():
-        values = np.frombuffer(r["values"], dtype=np.int64).reshape(-1, width)
+        values = np.frombuffer(r["values"], dtype=np.int32 if r["narrow"] else np.int64).reshape(-1, width)
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(values)] = values
     return out
 
@@ -389,17 +420,20 @@ def _observed(shared):
 
 
 def _residues(shared):
+    """How often each class came in each row less how often it was expected, in units."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        sums = np.zeros(model.weights.shape, dtype=np.int64)
+        sums, came = np.zeros(model.weights.shape, dtype=np.int64), _Cells(model.weights.size)
         for batch in batches:
             for c in chunks(as_bytes(batch.column("text"))):
                 h, shape, begin = tokens(c)
                 _, _, kind, code = model.placed(h, shape)
                 rows = features(before(code, begin), model.tables)
+                came.add((rows * CLASSES + kind[:, None]).ravel())
                 for a in range(0, len(kind), BATCH):
-                    residues(sums, model.weights, model.bias, rows[a : a + BATCH], kind[a : a + BATCH])
-        yield from _blocks(sums)
+                    expect(sums, model.weights, model.bias, rows[a : a + BATCH])
+        yield from _blocks(came.flush().reshape(sums.shape) * UNIT - sums)
 
     return run
 

@@ -70,7 +70,10 @@ def test_residues_are_the_gradient():
     w, b = r.normal(0, 0.5, (40, 48)).astype(np.float32), np.zeros(48, np.float32)
     sums = np.zeros(w.shape, dtype=np.int64)
     for a in (0, 70):
-        L.residues(sums, w, b, rows[a : a + 70 if not a else None], kind[a : a + 70 if not a else None])
+        L.expect(sums, w, b, rows[a : a + 70 if not a else None])
+    came = np.zeros(w.shape, dtype=np.int64)
+    np.add.at(came, (rows, kind[:, None]), L.UNIT)
+    sums = came - sums
 
     def gain(x):
         y = (x[rows].sum(axis=1) + b).astype(np.float64)
@@ -83,6 +86,14 @@ def test_residues_are_the_gradient():
         assert abs((gain(up) - gain(down)) / 2e-4 - sums[i, k] / L.UNIT) < 1e-2
 
 
+def test_row_sums():
+    r = np.random.default_rng(3)
+    rows = np.sort(r.integers(0, 40, 500)) * r.integers(0, 3, 500)
+    values = r.integers(0, 1000, (500, 3))
+    at, got = L.row_sums(values, rows)
+    assert at.tolist() == sorted(set(rows.tolist())) and all((values[rows == x].sum(axis=0) == g).all() for x, g in zip(at, got))
+
+
 def test_word_softmax_meets_its_counts():
     r = np.random.default_rng(2)
     label = np.zeros(L.COMMON, dtype=np.int64)
