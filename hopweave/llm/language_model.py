@@ -29,8 +29,8 @@ bytes a byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +117,7 @@ class Words:
 
 @dataclass
 class Model:
-    words: Words
+    words: Words | None
     clusters: np.ndarray  # of the common words
     tables: tuple[int, ...]  # rows of each table of features
     weights: np.ndarray
@@ -142,6 +142,24 @@ class Model:
         return (self.word[number] + self.first[one, number] + self.second[two, number] - self.norm[kind, one, two]) / np.log(10)
 
 
+class Shared:
+    """A model for tasks: its words, which are most of it, are sent once, and the rest each time that it has changed."""
+
+    def __init__(self, spark: SparkSession, words: Words):
+        self.context, self.words, self.rest = spark.sparkContext, spark.sparkContext.broadcast(words), []
+
+    def of(self, model: Model) -> Callable[[], Model]:
+        words, rest = self.words, self.context.broadcast(replace(model, words=None))
+        self.rest.append(rest)
+        return lambda: replace(rest.value, words=words.value)
+
+    def done(self) -> None:
+        """Nothing that has been sent is used any more, but for the words."""
+        for x in self.rest:
+            x.destroy()
+        self.rest = []
+
+
 def coded(number: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Common words by number, all others by hash."""
     return np.where(number >= 0, number.astype(U64), h | U64(1 << 63))
@@ -356,9 +374,9 @@ class _Cells:
         return self.table
 
 
-def _surroundings(shared):
+def _surroundings(words_shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Words = shared.value
+        words: Words = words_shared.value
         cells = _Cells(COMMON * BINS)
         for batch in batches:
             for c in chunks(as_bytes(batch.column("text"))):
@@ -401,7 +419,7 @@ def _observed(shared):
     """How often classes came in each row of features, and common words and classes after classes: one table, CLASSES wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = shared()
         ends = np.cumsum([sum(model.tables), *_MORE]) * CLASSES
         cells = _Cells(int(ends[-1]))
         for batch in batches:
@@ -423,7 +441,7 @@ def _residues(shared):
     """How often each class came in each row less how often it was expected, in units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = shared()
         sums, came = np.zeros(model.weights.shape, dtype=np.int64), _Cells(model.weights.size)
         for batch in batches:
             for c in chunks(as_bytes(batch.column("text"))):
@@ -440,7 +458,7 @@ def _residues(shared):
 
 def _scored(shared, totals):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = shared()
         every, kinds, per_class = totals
         words = model.words
         in_class = np.log10(words.count + ALPHA) if len(words.h) else np.zeros(0)
@@ -508,8 +526,8 @@ class LanguageModel:
         self.words = Words(h, count.astype(np.float64), number, least)
         first = np.zeros(COMMON)
         first[: len(by)] = count[by]
-        shared = spark.sparkContext.broadcast(self.words)
-        around = _gathered(texts.mapInArrow(_surroundings(shared), _PART), COMMON, BINS)
+        self.shared = Shared(spark, self.words)
+        around = _gathered(texts.mapInArrow(_surroundings(self.shared.words), _PART), COMMON, BINS)
         label = clusters(around, first)
         # words and tokens of each class
         kind_n, kind_v = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -526,8 +544,7 @@ class LanguageModel:
         tables = table_sizes(int(self.kinds))
         none = np.zeros((CONTEXTS, COMMON))
         model = Model(self.words, label, tables, np.zeros((sum(tables), CLASSES), dtype=np.float32), np.log(share).astype(np.float32), np.zeros(COMMON), none, none, np.zeros((CLASSES, CONTEXTS, CONTEXTS)))
-        shared = spark.sparkContext.broadcast(model)
-        seen, n1, n2, joint = np.split(_gathered(texts.mapInArrow(_observed(shared), _PART), sum(tables) + sum(_MORE), CLASSES), np.cumsum([sum(tables), *_MORE])[:-1])
+        seen, n1, n2, joint = np.split(_gathered(texts.mapInArrow(_observed(self.shared.of(model)), _PART), sum(tables) + sum(_MORE), CLASSES), np.cumsum([sum(tables), *_MORE])[:-1])
         n1, n2 = (n.ravel()[: CONTEXTS * COMMON].reshape(CONTEXTS, COMMON) for n in (n1, n2))
         model.word, model.first, model.second, model.norm = word_softmax(n1, n2, joint.reshape(CONTEXTS, CONTEXTS, CLASSES).transpose(2, 0, 1), label)
         weights = first_weights(seen, share, tables)
@@ -535,21 +552,20 @@ class LanguageModel:
         self.residues = []
         for r in range(rounds):
             model.weights = weights.astype(np.float32)
-            shared = spark.sparkContext.broadcast(model)
+            self.shared.done()
             own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
-            sums = _gathered(own.mapInArrow(_residues(shared), _PART), sum(tables), CLASSES)
+            sums = _gathered(own.mapInArrow(_residues(self.shared.of(model)), _PART), sum(tables), CLASSES)
             self.residues.append(float(np.abs(sums).sum() / UNIT / max(seen.sum(), 1)))
             weights = moved(weights, sums, seen, r, rounds)
+        self.shared.done()
         model.weights = weights.astype(np.float32)
         self.model = model
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Scores of (doc_id, held_out, text)."""
-        spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(self.model)
         totals = (self.tokens, self.kinds, self.per_class)
         keyed = docs.select(F.col("doc_id").alias("did"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"), "held_out", "text")
-        made = keyed.mapInArrow(_scored(shared, totals), "did long, tk long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<int>")
+        made = keyed.mapInArrow(_scored(self.shared.of(self.model), totals), "did long, tk long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<int>")
         if self.words.least > 1:
             made, _ = kept(made.withColumn("row", F.expr("uuid()")), "scored")
             rest = made.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
