@@ -1,7 +1,7 @@
 """License scan with a trained paragraph classifier.
 
-A paragraph is a line with words; neighbouring lines that only together hold a notice are one more (see `_wrapped`). Its distinct words and pairs of neighbouring words, lower-cased and without
-punctuation at their ends, are hashed into `2**BITS` places of a sparse logistic regression over the licence families
+A paragraph is a line with words; neighbouring lines that only together hold a notice, as when it is wrapped, are one more
+(see `_wrapped`). Its distinct words and pairs of neighbouring words, lower-cased and without punctuation at their ends, are hashed into `2**BITS` places of a sparse logistic regression over the licence families
 and one class for everything else. It is trained here on the families' own sentences (below), with words left out, put
 before and behind, and on other text: shuffled words, sentences about law and licences in general, and word salad. The
 unknown class is calibrated: temperature and threshold are set on variations kept from training. A prediction counts
@@ -11,7 +11,8 @@ All paragraphs of all texts are scored; where the sum of each feature's best adv
 upper bound, does not reach the unknown class, the softmax is left out.
 
 Nulls and the like: null and empty texts have no paragraphs; rows are judged one by one, so null ids and repeated rows
-are returned as they are; extra columns are ignored; an empty table gives no rows.
+are returned as they are; extra columns are ignored; an empty table gives no rows. A text is held whole by a task, at
+about 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ from .textcore import BYTE, BYTES_BASE, U64, Chunk, Rolling, as_bytes, chunks, m
 BITS, ALIKE, OTHER = 16, 0.6, "unknown"
 #: Sentences by which public licences announce themselves, by family.
 FAMILIES: dict[str, list[str]] = {
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Released under the Apache License 2.0.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "isc": ["Licensed under the ISC License.", "Released under the ISC license.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Released under the Apache License 2.0.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "gpl-3": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "Released under the GNU General Public License version 3.", "Licensed under the GNU GPL v3."],
-    "gpl-2": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU GPL v2.", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
-    "agpl": ["Licensed under the GNU Affero General Public License.", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "bsd": ["Licensed under the BSD 3-Clause License.", "Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "gpl-2": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU GPL v2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
+    "lgpl": ["Licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"],
+    "agpl": ["Licensed under the GNU Affero General Public License.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "bsd": ["Licensed under the BSD 3-Clause License.", "Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],

@@ -1,6 +1,9 @@
+import random
 import re
 import textwrap
 
+from notices import NOTICES
+
 from hopweave.llm.license_scan import FAMILIES, classifier, license_paragraphs, license_scan, scan_texts
 
 DATA = "/root/testdata/sf0.01"
@@ -42,3 +45,34 @@ def test_wrapped_notices():
                 found = scan_texts(["\n".join(["int main;", "", *lines, "", "zz yy"]).encode()])[1][0]
                 assert [x[2] for x in found] == [name], (name, width, mark, found)
     assert not scan_texts([b"permission is\n\nhereby granted\n\nfree of\n\ncharge"])[1][0]
+
+
+def test_whole_notices_give_their_own_family():
+    for name, text in NOTICES:
+        for width, mark in ((60, ""), (72, " * "), (40, "# "), (10**4, "")):
+            lines = (f"\n{mark}\n").join("\n".join(mark + x for x in textwrap.wrap(p, width)) for p in text.split("\n\n"))
+            found = {x[2] for x in scan_texts([lines.encode()])[1][0]} - {"proprietary"}  # "All rights reserved." stands in the notice of bsd
+            assert found == {name}, (name, width, found)
+
+
+def test_error_rates_on_paragraphs_not_trained_on(spark):
+    r = random.Random(77)
+    words = [w for x in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 200").collect() for w in (x.text or "").split()]
+    noise = lambda n: " ".join(r.choice(words) for _ in range(n))
+    right = total = 0
+    for name, sentences in FAMILIES.items():
+        for s in sentences:
+            for _ in range(10):
+                kept = " ".join(w for w in s.split() if r.random() > 0.05) or s
+                got = [x[2] for x in scan_texts([f"{noise(r.randint(0, 6))} {kept} {noise(r.randint(0, 6))}".encode()])[1][0]]
+                total += 1
+                right += got == [name]
+    assert right >= 0.9 * total, right / total
+    # lines of the corpus and shuffled words of notices are no licences
+    terms = re.compile(r"licen|copyright|rights reserved|creative commons|gnu|cc by|cc0", re.I)
+    lines = [x for d in spark.read.parquet(f"{DATA}/documents.parquet").collect() for x in (d.text or "").split("\n") if not terms.search(x)]
+    every = [w for _, t in NOTICES for w in t.split()]
+    lines += [" ".join(r.choice(every) for _ in range(25)) for _ in range(500)]
+    wrong = sum(map(bool, scan_texts([x.encode() for x in lines])[1]))
+    assert wrong <= 0.001 * len(lines), (wrong, len(lines))
+    print("right", right / total, "wrong", wrong, "of", len(lines))
