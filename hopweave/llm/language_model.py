@@ -15,7 +15,7 @@ Everything is learnt from sums over all training documents: counts of words, of
 classes and common words in their contexts. The class weights begin at the contexts' (damped) logarithms of observed shares
 and are corrected in `ROUNDS` rounds of gradient updates, each over the documents of one remainder of their text's hash:
 tasks sum, for each row and class, how often the class came and how much of it was expected; only the sum over all
-tasks moves the weights. The sums are of integers (expected shares to 16 bits), so the model does not depend on
+tasks moves the weights. The sums are of integers (expected shares to 14 bits), so the model does not depend on
 how documents are dealt to tasks. The words' weights are found by gradient updates on the summed counts, which are all
 that they depend on.
 
@@ -48,11 +48,11 @@ BINS = 128
 ROUNDS, MAX_BITS, SMALLER = 4, 13, (0, 1, 2, 0)
 #: Damping of observed shares, how much of each table's the first weights have, and the step of the first round (less in each later one).
 PRIOR, FIRST, STEP = 10.0, (0.6, 0.25, 0.15, 0.6), 0.8
-#: Expected shares are summed in units of one in 2**16.
-UNIT = 1 << 16
+#: Expected shares are summed in units of one in 2**14.
+UNIT = 1 << 14
 BATCH, BLOCK = 1 << 14, 512
-#: Tokens of a row that are summed one by one with others' (see `row_sums`).
-LONG = 16
+#: Tokens of a row that are summed one by one with others' (see `add_rows`).
+LONG = 32
 END_HASH = 0x6C9E3C5A7F1B2D43
 #: What stands before a document: as a code of a word, and as a class.
 START, START_CLASS = COMMON, CLASSES
@@ -199,25 +199,41 @@ def features(prior: list[np.ndarray], tables: tuple[int, ...]) -> np.ndarray:
     return rows
 
 
-def class_chances(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Chance of each class for each token. Sums of weights are under 40 or so, far from what float32 can't hold."""
+def _scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of weights: under 40 or so, so that float32 holds their exponentials."""
     y = bias + weights[rows[:, 0]]
     for j in range(1, rows.shape[1]):
         y += weights[rows[:, j]]
+    return y
+
+
+def class_chances(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Chance of each class for each token."""
+    y = _scores(weights, bias, rows)
     np.exp(y, out=y)
-    y /= y.sum(axis=1, keepdims=True)
+    y *= 1 / y.sum(axis=1, keepdims=True)
     return y
 
 
-def row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sum of the values (a vector each) of each of them."""
-    by = np.argsort(rows.astype(np.uint16) if MAX_BITS < 15 else rows, kind="stable")
+def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """log10 of the chance of each token's own class."""
+    out = np.empty(len(rows))
+    for a in range(0, len(rows), BATCH):
+        y = _scores(weights, bias, rows[a : a + BATCH])
+        own = y[np.arange(len(y)), kind[a : a + BATCH]].astype(np.float64)
+        np.exp(y, out=y)
+        out[a : a + BATCH] = (own - np.log(y.sum(axis=1))) / np.log(10)
+    return out
+
+
+def add_rows(sums: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
+    """Adds values (a vector each) to the sums of their rows."""
+    by = np.argsort(rows.astype(np.uint16) if len(sums) < 1 << 16 else rows, kind="stable")
     r = rows[by]
     cut = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
     size = np.diff(np.r_[cut, len(r)])
-    out = np.empty((len(cut), values.shape[1]), dtype=values.dtype)
     for i in np.flatnonzero(size > LONG).tolist():
-        out[i] = values[by[cut[i] : cut[i] + size[i]]].sum(axis=0)
+        sums[r[cut[i]]] += values[by[cut[i] : cut[i] + size[i]]].sum(axis=0)
     # short ones together, the longest first: their first values, their second ones ...
     short = np.flatnonzero(size <= LONG)
     short = short[np.argsort(-size[short], kind="stable")]
@@ -228,17 +244,30 @@ def row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if not n:
             break
         total[:n] += values[by[first[:n] + j]]
-    out[short] = total
-    return r[cut], out
+    sums[r[first]] += total
+
 
+class Expected:
+    """How often each class is expected in each row, in units. Two classes share 64 bits until either could leave its half."""
 
-def expect(sums: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> None:
-    """Adds to the sums of each row and class how often it is expected, in units, of a batch."""
-    # two classes in an integer of 64 bits: none of a batch's sums goes beyond 32
-    units = np.rint(class_chances(weights, bias, rows) * np.float32(UNIT)).astype(np.int32).view(np.int64)
-    for j in range(rows.shape[1]):
-        r, total = row_sums(units, rows[:, j])
-        sums[r] += total.view(np.int32)
+    def __init__(self, model: Model):
+        self.model, self.pairs = model, np.zeros((len(model.weights), CLASSES // 2), dtype=np.int64)
+        self.sums, self.tokens = np.zeros(model.weights.shape, dtype=np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        for a in range(0, len(rows), BATCH):
+            part = rows[a : a + BATCH]
+            if (self.tokens + len(part)) * UNIT >= 1 << 32:
+                self.flush()
+            pairs = np.rint(class_chances(self.model.weights, self.model.bias, part) * np.float32(UNIT)).astype(np.int32).view(np.int64)
+            for j in range(rows.shape[1]):
+                add_rows(self.pairs, pairs, part[:, j])
+            self.tokens += len(part)
+
+    def flush(self) -> np.ndarray:
+        self.sums += self.pairs.view(np.uint32)
+        self.pairs[:], self.tokens = 0, 0
+        return self.sums
 
 
 def first_weights(seen: np.ndarray, share: np.ndarray, tables: tuple[int, ...]) -> np.ndarray:
@@ -442,16 +471,15 @@ def _residues(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
-        sums, came = np.zeros(model.weights.shape, dtype=np.int64), _Cells(model.weights.size)
+        expected, came = Expected(model), _Cells(model.weights.size)
         for batch in batches:
             for c in chunks(as_bytes(batch.column("text"))):
                 h, shape, begin = tokens(c)
                 _, _, kind, code = model.placed(h, shape)
                 rows = features(before(code, begin), model.tables)
                 came.add((rows * CLASSES + kind[:, None]).ravel())
-                for a in range(0, len(kind), BATCH):
-                    expect(sums, model.weights, model.bias, rows[a : a + BATCH])
-        yield from _blocks(came.flush().reshape(sums.shape) * UNIT - sums)
+                expected.add(rows)
+        yield from _blocks(came.flush().reshape(model.weights.shape) * UNIT - expected.flush())
 
     return run
 
@@ -468,10 +496,7 @@ def _scored(shared, totals):
                 h, shape, begin = tokens(c)
                 place, number, kind, code = model.placed(h, shape)
                 rows = features(before(code, begin), model.tables)
-                chance = np.empty(len(h))
-                for a in range(0, len(h), BATCH):
-                    p = class_chances(model.weights, model.bias, rows[a : a + BATCH])
-                    chance[a : a + BATCH] = np.log10(p[np.arange(len(p)), kind[a : a + BATCH]])
+                chance = class_logs(model.weights, model.bias, rows, kind)
                 found = place >= 0
                 word = np.where(found, in_class[place] if len(in_class) else 0.0, 0.0 if words.least > 1 else np.log10(ALPHA))
                 share = word - per_class[kind]

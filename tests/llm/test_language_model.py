@@ -68,12 +68,12 @@ def test_residues_are_the_gradient():
     rows = np.column_stack([r.integers(0, 5, 200) + 10 * j for j in range(4)])
     kind = r.integers(0, 48, 200)
     w, b = r.normal(0, 0.5, (40, 48)).astype(np.float32), np.zeros(48, np.float32)
-    sums = np.zeros(w.shape, dtype=np.int64)
+    expected = L.Expected(L.Model(None, None, (40,), w, b, None, None, None, None))
     for a in (0, 70):
-        L.expect(sums, w, b, rows[a : a + 70 if not a else None])
+        expected.add(rows[a : a + 70 if not a else None])
     came = np.zeros(w.shape, dtype=np.int64)
     np.add.at(came, (rows, kind[:, None]), L.UNIT)
-    sums = came - sums
+    sums = came - expected.flush()
 
     def gain(x):
         y = (x[rows].sum(axis=1) + b).astype(np.float64)
@@ -86,12 +86,39 @@ def test_residues_are_the_gradient():
         assert abs((gain(up) - gain(down)) / 2e-4 - sums[i, k] / L.UNIT) < 1e-2
 
 
-def test_row_sums():
+def test_rows_are_added():
     r = np.random.default_rng(3)
-    rows = np.sort(r.integers(0, 40, 500)) * r.integers(0, 3, 500)
-    values = r.integers(0, 1000, (500, 3))
-    at, got = L.row_sums(values, rows)
-    assert at.tolist() == sorted(set(rows.tolist())) and all((values[rows == x].sum(axis=0) == g).all() for x, g in zip(at, got))
+    rows = np.sort(r.integers(0, 40, 900)) * r.integers(0, 3, 900)
+    values = r.integers(0, 1000, (900, 3))
+    sums = np.ones((80, 3), dtype=np.int64)
+    L.add_rows(sums, values, rows)
+    assert all((values[rows == x].sum(axis=0) + 1 == s).all() for x, s in enumerate(sums)) and (np.bincount(rows) > L.LONG).any()
+
+
+def test_score_against_a_plain_sum(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 120")
+    own = docs.select("doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "text")
+    lm = L.LanguageModel(own.where("NOT held_out").select("text"))
+    m, count = lm.model, {int(h): c for h, c in zip(lm.words.h, lm.words.count)}
+    got = {x.doc_id: x.score for x in lm.score(own).collect()}
+    for d, text in [tuple(x) for x in docs.where("doc_id < 12").collect()]:
+        h, shape, _ = L.tokens(Chunk([0], [(text or "").encode()]))
+        number = [int(m.words.number[m.words.find(x[None])[0]]) if int(x) in count else -1 for x in h]
+        code = [n if n >= 0 else int(x) | 1 << 63 for n, x in zip(number, h)]
+        kind = [int(m.clusters[n]) if n >= 0 else L.CLUSTERS + min(int(s), L.SHAPES - 1) for n, s in zip(number, shape)]
+        total = 0.0
+        for t in range(len(h)):
+            before = [np.array([code[t - k] if t >= k else L.START], dtype=np.uint64) for k in (1, 2, 3)]
+            y = m.bias + sum(m.weights[row].astype(np.float64) for row in L.features(before, m.tables)[0])
+            total += (y[kind[t]] - math.log(np.exp(y).sum())) / math.log(10)
+            if number[t] >= 0:
+                one, two = (kind[t - k] if t >= k else L.START_CLASS for k in (1, 2))
+                peers = [n for n in set(m.words.number[m.words.number >= 0].tolist()) if m.clusters[n] == kind[t]]
+                z = {n: m.word[n] + m.first[one, n] + m.second[two, n] for n in peers}
+                total += (z[number[t]] - math.log(sum(map(math.exp, z.values())))) / math.log(10)
+            else:
+                total += math.log10(count.get(int(h[t]), 0) + L.ALPHA) - lm.per_class[kind[t]]
+        assert abs(total - got[d]) < 1e-4 * max(1, abs(total)), d
 
 
 def test_word_softmax_meets_its_counts():
