@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import fresh, kept, quoted
 from .textcore import ALNUM, U64, Chunk, as_bytes, chunks, merged
 
 WINDOW = 10
@@ -32,6 +32,8 @@ WINDOW = 10
 BLOCK_BYTES = 4 << 20
 #: A document of which more than this share of words is hit goes as a whole, where texts are cleaned.
 COVERAGE = 0.5
+#: The column of hits that is joined to documents, where there are several blocks.
+PARTS = "_hits_of_all_blocks"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -235,17 +237,18 @@ def blocks_of(items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_B
 
 
 def _with_parts(docs: DataFrame, blocks: Iterator[list[Items]]) -> DataFrame:
-    """docs with `parts`: the hits of each block in the whole text, null where there are none. Rows of the same id and text share them."""
-    own = docs.withColumns({"_did": F.coalesce("doc_id", F.lit(-(2**63))), "_tk": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    """docs with PARTS: the hits of each block in the whole text, null where there are none. Rows of the same id and text share them."""
+    did, key = fresh(docs, "did"), fresh(docs, "tk")
+    own = docs.withColumns({did: F.coalesce("doc_id", F.lit(-(2**63))), key: F.coalesce(F.xxhash64("text"), F.lit(0))})
     found = None
     for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        hits = own.select(F.col("_did").alias("did"), F.col("_tk").alias("tk"), "text").mapInArrow(_parts(shared), "did long, tk long, n_words long, first array<long>, last array<long>, items array<long>")
+        hits = own.select(F.col(did).alias("did"), F.col(key).alias("tk"), "text").mapInArrow(_parts(shared), "did long, tk long, n_words long, first array<long>, last array<long>, items array<long>")
         part, _ = kept(hits.dropDuplicates(["did", "tk"]), "hits")
-        shared.unpersist()
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
-    parts = found.groupBy("did", "tk").agg(F.collect_list(F.struct("first", "last", "items")).alias("parts")).withColumnsRenamed({"did": "_did", "tk": "_tk"})
-    return own.join(parts, ["_did", "_tk"], "left").select(*docs.columns, "parts")
+    parts = found.groupBy("did", "tk").agg(F.collect_list(F.struct("first", "last", "items")).alias(PARTS)).withColumnsRenamed({"did": did, "tk": key})
+    return own.join(parts, [did, key], "left").select(*map(quoted, docs.columns), PARTS)
 
 
 def _united(texts: list[bytes | None], parts: list[list[dict] | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[int], Chunk, int]]:
@@ -261,12 +264,12 @@ def _united(texts: list[bytes | None], parts: list[list[dict] | None]) -> Iterat
 def matching(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Callable]:
     """docs, and what gives a task its matcher of batches, which yields what Matcher.documents does for the hits of all items.
 
-    Documents stream through one block's automaton; with more blocks, each one's hits on the whole texts are kept, united and joined as `parts`.
+    Documents stream through one block's automaton; with more blocks, each one's hits on the whole texts are kept, united and joined as PARTS.
     """
     blocks = blocks_of(items, window, block_bytes)
     one, two = next(blocks), next(blocks, None)
     if two is not None:
-        return _with_parts(docs, chain([one, two], blocks)), lambda: lambda batch: _united(as_bytes(batch.column("text")), batch.column("parts").to_pylist())
+        return _with_parts(docs, chain([one, two], blocks)), lambda: lambda batch: _united(as_bytes(batch.column("text")), batch.column(PARTS).to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(one)
 
     def start() -> Callable:

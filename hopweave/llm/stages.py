@@ -19,7 +19,7 @@ from .minhash_dedup import near_duplicates
 from .mix_sources import mix_sized, sized
 from .quality import features, fitted
 from .substring_dedup import covered, factors, matches, matches_of, text_key
-from .tables import table
+from .tables import fresh, quoted, table
 from .textcore import as_bytes, chunks
 
 THRESHOLD = 0.5
@@ -35,17 +35,8 @@ def _with_texts(batch: pa.RecordBatch, names: list[str], texts: list[bytes | Non
     return pa.RecordBatch.from_arrays(out, names)
 
 
-def fresh(docs: DataFrame, name: str) -> str:
-    """A column's name that docs does not have."""
-    have = {c.lower() for c in docs.columns}
-    name = f"_{name}"
-    while name in have:
-        name += "_"
-    return name
-
-
 def _all(docs: DataFrame, but: str = "") -> list[Column]:
-    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() != but]
+    return [quoted(c) for c in docs.columns if c.lower() != but]
 
 
 def _mapped(docs: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], like: DataFrame) -> DataFrame:
@@ -72,7 +63,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8 or more) the document of the smallest doc_id."""
     gone = near_duplicates(docs, 5, 80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_all(docs))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
