@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import EV, TR, events_graph, trade_graph
+from .fixtures import EV, EV_LABELS, TR, events_graph, trade_graph
 from .functions.scalars import linf, one_sided
 from .operators import bounds, cluster, consistency, index, match, relation, topology
-from .operators.distance import all_distances, bounded_distances, closure, parents
+from .operators.cover import cover_order
+from .operators.distance import all_distances, bounded_distances, closure, guided_distances, parents
+from .plans.graph import group_sizes_of
 from .plans.pattern import Pattern
-from .plans.storage import kept
-from .sources import sinks
+from .plans.storage import kept, shared_dir
+from .sources import sinks, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,16 +58,14 @@ def relation_sql(graph: str, edges: list[tuple[int, int]], delta: int, name: str
 
 
 def match_sql(edges: list[tuple[int, int]], rel: str = "rel") -> str:
-    """A SELECT of all matches, as columns a<label>."""
-    where, columns = [], {}
+    """A SELECT of all matches, as columns a<label>: one join after another, each with the pairs of its edge only."""
+    text, columns = "", {}
     for k, (i, j) in enumerate(edges):
-        where.append(f"r{k}.i = {i} AND r{k}.j = {j}")
-        for v, c in ((i, f"r{k}.x"), (j, f"r{k}.y")):
-            if v in columns:
-                where.append(f"{columns[v]} = {c}")
-            else:
-                columns[v] = c
-    return "SELECT " + ", ".join(f"{c} AS a{v}" for v, c in sorted(columns.items())) + " FROM " + ", ".join(f"{rel} r{k}" for k in range(len(edges))) + " WHERE " + " AND ".join(where)
+        on = [f"{columns[v]} = r{k}.{c}" for v, c in ((i, "x"), (j, "y")) if v in columns]
+        pairs = f"(SELECT x, y FROM {rel} WHERE i = {i} AND j = {j}) r{k}"
+        text += f" JOIN {pairs} ON " + " AND ".join(on) if text else pairs
+        columns = {i: f"r{k}.x", j: f"r{k}.y"} | columns
+    return "SELECT " + ", ".join(f"{c} AS a{v}" for v, c in sorted(columns.items())) + f" FROM {text}"
 
 
 def arc_sql(edges: list[tuple[int, int]], rounds: int, rel: str = "rel", name: str = "ac") -> str:
@@ -94,6 +95,14 @@ for _g, _of, _ctes in (("ev", events_graph, EV), ("tr", trade_graph, TR)):
     query(f"label_group_sizes_{_g}", with_sql(_ctes, select=f"SELECT label, count(*) AS vertices FROM {_g}_v GROUP BY label"))(lambda s, d, of=_of: of(s, d).group_sizes())
 
 
+    query(f"label_count_{_g}", with_sql(_ctes, select=f"SELECT count(DISTINCT label) AS labels FROM {_g}_v"))(lambda s, d, of=_of: of(s, d).label_count())
+
+
+@query("label_group_sizes_all", f"SELECT label, count(DISTINCT vid) AS vertices FROM ({EV_LABELS.format(events='events')}) GROUP BY label")
+def _(spark, sf):
+    return group_sizes_of(spark.sql(EV_LABELS, events=spark.read.parquet(f"{sf}/events.parquet")))
+
+
 @query("graph_undirected", with_sql(TR, select="SELECT src, dst, w FROM tr_u"))
 def _(spark, sf):
     return trade_graph(spark, sf).undirected().edges
@@ -140,6 +149,17 @@ def _(spark, sf):
     return index.hub_distances(index.pruned_hub_labels(events_graph(spark, sf), 3)).where("d <= 3")
 
 
+@query("cover_hub_distances", with_sql(EV, near_sql("c", _ALL_EV, "ev_e", 3), select="SELECT key AS src, vid AS dst, d FROM c"))
+def _(spark, sf):
+    g = events_graph(spark, sf).stored()
+    return index.hub_distances(index.pruned_hub_labels(g, 3, order=cover_order(g))).where("d <= 3")
+
+
+@query("hub_list_length", with_sql(EV, near_sql("c", _ALL_EV, "ev_e", CUT), select="SELECT dir, count(*) AS vertices, CAST(sum(n) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS average FROM (SELECT 0 AS dir, key AS vid, count(*) AS n FROM c GROUP BY key UNION ALL SELECT 1, vid, count(*) FROM c GROUP BY vid) GROUP BY dir"))
+def _(spark, sf):
+    return index.average_list_length(index.hub_labels(events_graph(spark, sf), CUT))
+
+
 @query("shortest_path_parents", with_sql(TR, near_sql("c", "SELECT vid AS key, vid FROM tr_v WHERE label = 4", "tr_e", 5), select="SELECT a.key, a.vid, min(e.src) AS parent, a.d FROM c a LEFT JOIN (c b JOIN tr_e e ON e.src = b.vid) ON b.key = a.key AND e.dst = a.vid AND b.d + e.w = a.d GROUP BY a.key, a.vid, a.d"))
 def _(spark, sf):
     g = trade_graph(spark, sf)
@@ -272,6 +292,15 @@ def _(spark, sf):
     return consistency.path_consistent(relation.distance_relation(trade_graph(spark, sf), p), p)[1]
 
 
+_VIRTUAL = [*PATH4, (0, 2), (1, 3)]
+
+
+@query("pc_completed_path", with_sql(TR, relation_sql("tr", PATH4, 1), f"m AS MATERIALIZED ({match_sql(PATH4)})", select=" UNION ".join(f"SELECT {i} AS i, {j} AS j, a{i} AS x, a{j} AS y FROM m" for i, j in _VIRTUAL)))
+def _(spark, sf):
+    p = Pattern.of(PATH4, 1)
+    return consistency.path_consistent_completed(relation.distance_relation(trade_graph(spark, sf), p), p)[1]
+
+
 @query("result_totals", with_sql(TR, relation_sql("tr", TR_TRIANGLE, 3), arc_sql(TR_TRIANGLE, 8), select="SELECT label, count(*) AS vertices, (SELECT count(*) FROM ac WHERE i = label) AS out_supports, (SELECT count(*) FROM ac WHERE j = label) AS in_supports FROM ac_d GROUP BY label"))
 def _(spark, sf):
     p = Pattern.of(TR_TRIANGLE, 3)
@@ -299,7 +328,13 @@ def _(spark, sf):
     return index.landmark_ranges(*_landmarks(spark, sf))
 
 
-@query("farthest_landmarks")
+#: Three landmarks: a pseudo-random one, then twice the farthest from those before it, if there is one.
+_FARTHEST = ["f0 AS (SELECT vid FROM ev_v ORDER BY ((vid + 1) * 2654435761) % 1000003, vid LIMIT 1)"]
+for _k in (0, 1):
+    _FARTHEST += [near_sql(f"n{_k}", f"SELECT 0 AS key, vid FROM f{_k}", "ev_e", 12), f"f{_k + 1} AS MATERIALIZED (SELECT vid FROM f{_k} UNION ALL SELECT * FROM (SELECT vid FROM n{_k} WHERE d > 0 ORDER BY d DESC, vid LIMIT 1))"]
+
+
+@query("farthest_landmarks", with_sql(EV, *_FARTHEST, select="SELECT vid AS landmark FROM f2"))
 def _(spark, sf):
     return index.farthest_landmarks(events_graph(spark, sf), 3, 12)
 
@@ -336,6 +371,15 @@ def _(spark, sf):
     return _vectors(spark, sf, True)[1].select("vid", "label", F.array_join(F.col("v").cast("array<string>"), ",").alias("v"))
 
 
+_SCALED = "sc AS (SELECT greatest(CAST(floor(log2(count(*))) AS INTEGER) - 1, 1) AS s FROM ev_v), dims AS (SELECT unnest(range(s * s)) AS dim, s FROM sc), sets(key, vid) AS MATERIALIZED (SELECT dim, vid FROM (SELECT dim, s, vid, row_number() OVER (PARTITION BY dim ORDER BY ((vid + 1) * 2654435761 + dim * 40503) % 1000003, vid) AS n FROM ev_v CROSS JOIN dims) WHERE n <= 2 << CAST(dim // s AS INTEGER)), ev_b AS (SELECT dst AS src, src AS dst, w FROM ev_e)"
+
+
+@query("embedding_of_all_scales", with_sql(EV, _SCALED, near_sql("em", "SELECT key, vid FROM sets", "ev_b", CUT), select="SELECT vid, CAST(key AS INTEGER) AS dim, d FROM em"))
+def _(spark, sf):
+    g = events_graph(spark, sf).stored()
+    return index.embedding(g, index.reference_sets(g), CUT)
+
+
 @query("embedding_linf", with_sql(*_BOTH, select=f"SELECT a.vid AS x, b.vid AS y, CAST({_LINF.format(a='a.v', b='b.v')} AS INTEGER) AS bound FROM vec a JOIN tr_e e ON e.src = a.vid JOIN vec b ON b.vid = e.dst"))
 def _(spark, sf):
     g, v = _vectors(spark, sf, False)
@@ -379,8 +423,8 @@ def _(spark, sf):
     return bounds.areas(_vectors(spark, sf, False)[1], 1)
 
 
-def _area_rounds(rounds: int) -> list[str]:
-    near = {0: [4], 3: [4], 4: [0, 3]}
+def _area_rounds(rounds: int, near: dict[int, list[int]] | None = None) -> list[str]:
+    near = near or {0: [4], 3: [4], 4: [0, 3]}
     parts, last = ["av AS MATERIALIZED (SELECT * FROM vec WHERE label IN (0, 3, 4))"], "av"
     for n in range(rounds):
         inside = " AND ".join("(t.label <> {a} OR {c})".format(a=a, c=" AND ".join(f"NOT EXISTS (SELECT 1 FROM range({SETS}) g(dim) WHERE NOT EXISTS (SELECT 1 FROM area{n} s WHERE s.label = {b} AND s.dim = g.dim AND t.v[g.dim + 1] BETWEEN s.lo AND s.hi))" for b in bs)) for a, bs in near.items())
@@ -395,6 +439,34 @@ def _(spark, sf):
     return bounds.area_pruned(_vectors(spark, sf, False)[1], Pattern.of(NEAR, 1))
 
 
+@query("neighbor_area_prune_one_pass", with_sql(*_BOTH, *_area_rounds(1), select="SELECT label, vid FROM fin"))
+def _(spark, sf):
+    return bounds.area_pruned(_vectors(spark, sf, False)[1], Pattern.of(NEAR, 1), 1)
+
+
+@query("neighbor_area_prune_left", with_sql(*_BOTH, *_area_rounds(1, {3: [4], 4: [0]}), select="SELECT label, vid FROM fin"))
+def _(spark, sf):
+    return bounds.area_pruned(_vectors(spark, sf, False)[1], Pattern.of(NEAR, 1), 1, left_only=True)
+
+
+@query("distance_to_group", with_sql(*_BOTH, f"gv AS MATERIALIZED (SELECT DISTINCT dim, v[dim + 1] AS d FROM vec CROSS JOIN range({SETS}) g(dim) WHERE label = 4)", f"tv AS (SELECT vid, dim, v[dim + 1] AS d FROM vec CROSS JOIN range({SETS}) g(dim))", select="SELECT vid, CAST(max(gap) AS INTEGER) AS bound FROM (SELECT t.vid, t.dim, min(abs(t.d - g.d)) AS gap FROM tv t JOIN gv g USING (dim) GROUP BY t.vid, t.dim) GROUP BY vid"))
+def _(spark, sf):
+    return bounds.distance_to_group(_vectors(spark, sf, False)[1], 4)
+
+
+@query("landmark_prune_one_pass", with_sql(*_DIRECTED, _band_sql(_ONE, 1), arc_sql(NEAR, 1, "band"), select="SELECT label, vid FROM ac_d"))
+def _(spark, sf):
+    return bounds.landmark_pruned(_vectors(spark, sf, True)[1], Pattern.of(NEAR, 1), True, to_fixpoint=False)
+
+
+@query("guided_distances", with_sql(TR, near_sql("c", "SELECT vid AS key, vid FROM tr_v WHERE label = 3", "tr_e", 4), select="SELECT key AS src, vid AS dst, d FROM c WHERE vid % 8 IN (0, 4)"))
+def _(spark, sf):
+    g, v = _vectors(spark, sf, True)
+    from_suppliers = g.labeled(3, 3).selectExpr("vid AS src").crossJoin(F.broadcast(g.labeled(4, 4).selectExpr("vid AS dst")))  # the 25 nations
+    near = closure(g.labeled(3, 3), g.edges, 4, True).where("dst % 8 = 0").select("src", "dst")
+    return guided_distances(from_suppliers.unionByName(near), g.edges, v, 4)
+
+
 @query("band_join_candidates", with_sql(*_BOTH, _band_sql(_LINF, 1), select="SELECT i, j, x, y FROM band"))
 def _(spark, sf):
     return bounds.band_pairs(_vectors(spark, sf, False)[1], Pattern.of(NEAR, 1))
@@ -454,36 +526,58 @@ def _(spark, sf):
     return cluster.cluster_join(m, v, Pattern.of(NEAR, 1))
 
 
+#: The number of rounds depends on the data: no SQL; a test holds it against plain Python.
 @query("k_medoids")
 def _(spark, sf):
-    return cluster.clusters(cluster.k_medoids(_vectors(spark, sf, False)[1], 5, 3))
+    return cluster.clusters(cluster.k_medoids(_vectors(spark, sf, False)[1], 5))
 
 
-# --- topology ---
-#: Mutual reachability on what is left of the trade graph without orders: nations, customers and suppliers make no cycle there, so nations are joined back to suppliers.
-_SCC = "sc AS MATERIALIZED (SELECT src, dst FROM tr_e WHERE src % 8 >= 3 AND dst % 8 >= 3 UNION SELECT n_nationkey * 8 + 4, s_suppkey * 8 + 3 FROM nation JOIN supplier ON s_nationkey = n_nationkey), sr(a, b) AS (SELECT src, dst FROM sc UNION SELECT r.a, e.dst FROM sr r JOIN sc e ON e.src = r.b)"
+def _swaps_sql(rounds: int) -> list[str]:
+    """med<rounds> and mem<rounds> after so many trial swaps."""
+    parts = ["k0 AS MATERIALIZED (SELECT label, vid AS c FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ((vid + 1) * 2654435761) % 1000003, vid) AS n FROM vec) WHERE n <= 5)"]
 
+    def members(med: str, name: str) -> str:
+        bound = _LINF.format(a="t.v", b="m.v")
+        return f"""{name} AS MATERIALIZED (SELECT label, c, member, dist FROM (
+  SELECT t.label, m.vid AS c, t.vid AS member, CAST({bound} AS INTEGER) AS dist, row_number() OVER (PARTITION BY t.vid ORDER BY {bound}, m.vid) AS n
+  FROM vec t JOIN (SELECT v.* FROM vec v JOIN {med} k ON k.c = v.vid) m USING (label)) WHERE n = 1)"""
 
-@query("scc_components", with_sql(TR, _SCC, select="SELECT vid, min(other) AS comp FROM (SELECT p.a AS vid, p.b AS other FROM sr p JOIN sr q ON p.a = q.b AND p.b = q.a) GROUP BY vid HAVING count(DISTINCT other) > 1"))
+    parts.append(members("k0", "m0"))
+    for r in range(rounds):
+        parts.append(f"""t{r} AS MATERIALIZED (
+  WITH p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY c) - 1 AS a, count(*) OVER (PARTITION BY label) AS n FROM k{r}),
+  o AS (SELECT label, vid AS new FROM (SELECT label, vid, row_number() OVER (PARTITION BY label ORDER BY ((vid + 1) * 2654435761 + {r + 1} * 40503) % 1000003, vid) AS n FROM vec WHERE vid NOT IN (SELECT c FROM k{r})) WHERE n = 1)
+  SELECT p.label, CASE WHEN {r} % n = a AND new IS NOT NULL THEN new ELSE c END AS c FROM p LEFT JOIN o USING (label))""")
+        parts.append(members(f"t{r}", f"u{r}"))
+        better = f"SELECT a.label FROM (SELECT label, sum(dist) AS e FROM u{r} GROUP BY label) a JOIN (SELECT label, sum(dist) AS e FROM m{r} GROUP BY label) b USING (label) WHERE a.e < b.e"
+        for new, old, name in ((f"t{r}", f"k{r}", "k"), (f"u{r}", f"m{r}", "m")):
+            parts.append(f"{name}{r + 1} AS MATERIALIZED (SELECT * FROM {new} WHERE label IN ({better}) UNION ALL SELECT * FROM {old} WHERE label NOT IN ({better}))")
+    return parts
+
+
+@query("k_medoids_three_swaps", with_sql(*_BOTH, *_swaps_sql(3), select="SELECT label, c, max(dist) AS r, count(*) AS members FROM m3 GROUP BY label, c"))
 def _(spark, sf):
-    g = trade_graph(spark, sf)
-    edges = g.edges.where("src % 8 >= 3 AND dst % 8 >= 3").select("src", "dst")
-    back = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("CAST(s_nationkey * 8 + 4 AS BIGINT) AS src", "CAST(s_suppkey * 8 + 3 AS BIGINT) AS dst")
-    return topology.strong_components(edges.unionByName(back))
+    return cluster.clusters(cluster.k_medoids(_vectors(spark, sf, False)[1], 5, 3))
 
 
-@query("scc_of_trade_graph")
+@query("multiway_distance_join", with_sql(TR, _U_NEAR, f"rel AS MATERIALIZED ({_WITHIN})", arc_sql(NEAR, 8), select="SELECT i, j, x, y FROM ac"))
 def _(spark, sf):
-    return topology.strong_components(trade_graph(spark, sf).edges)
+    v, m = _members(spark, sf)
+    g = trade_graph(spark, sf).undirected().stored()
+    return cluster.multiway_distance_join(m, v, closure(g.labeled(3, 4), g.edges, 2, True), Pattern.of(NEAR, 2))
 
 
-#: Without the edges from nations the trade graph has no cycle.
-@query("topological_level", with_sql(TR, "ac AS (SELECT src, dst FROM tr_e WHERE src % 8 <> 4), lv(vid, level) AS (SELECT DISTINCT src, 0 FROM ac WHERE src NOT IN (SELECT dst FROM ac) UNION SELECT e.dst, l.level + 1 FROM lv l JOIN ac e ON e.src = l.vid)", select="SELECT vid, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY vid"))
+# --- topology ---
+#: Without the edges from nations the trade graph has no cycle, so each component has a nation, and is what it reaches and is reached from.
+_SCC = [near_sql("fw", "SELECT vid AS key, vid FROM tr_v WHERE label = 4", "tr_0", 0), "tr_1 AS (SELECT dst AS src, src AS dst, 0 AS w FROM tr_e)", near_sql("bw", "SELECT vid AS key, vid FROM tr_v WHERE label = 4", "tr_1", 0), "tr_c AS (SELECT key, fw.vid FROM fw JOIN bw USING (key, vid))", "tr_m AS (SELECT key, min(vid) AS comp, count(*) AS n FROM tr_c GROUP BY key)"]
+
+
+@query("scc_components", with_sql(TR, "tr_0 AS (SELECT src, dst, 0 AS w FROM tr_e)", *_SCC, select="SELECT DISTINCT vid, comp FROM tr_c JOIN tr_m USING (key) WHERE n > 1"))
 def _(spark, sf):
-    return topology.topological_levels(trade_graph(spark, sf).edges.where("src % 8 <> 4"))
+    return topology.strong_components(trade_graph(spark, sf).edges)
 
 
-@query("topological_level_events", with_sql(_EV_CHAIN, select="SELECT vid, CAST(level AS INTEGER) AS level FROM ch WHERE n > 1"))
+@query("topological_level", with_sql(_EV_CHAIN, select="SELECT vid, CAST(level AS INTEGER) AS level FROM ch WHERE n > 1"))
 def _(spark, sf):
     return topology.topological_levels(events_graph(spark, sf).edges)
 
@@ -537,3 +631,88 @@ def _(spark, sf):
 def _(spark, sf):
     p = Pattern.of(PATH3, 2)
     return sinks.joined(match.matches(relation.distance_relation(events_graph(spark, sf), p), p))
+
+
+# --- text files, written and read back ---
+def _written(lines: DataFrame, name: str) -> str:
+    path = f"{shared_dir(lines.sparkSession)}/hopweave/{uuid.uuid4().hex}-{name}"
+    sinks.write_lines(lines, path)
+    return path
+
+
+@query("read_edges", with_sql(TR, select="SELECT src, dst, w FROM tr_e"))
+def _(spark, sf):
+    return text.read_edges(spark, _written(sinks.joined(trade_graph(spark, sf).edges, "src", "dst", "w"), "edges"))
+
+
+@query("read_edges_without_weights", with_sql(EV, select="SELECT src, dst, 1 AS w FROM ev_e"))
+def _(spark, sf):
+    return text.read_edges(spark, _written(sinks.joined(events_graph(spark, sf).edges, "src", "dst"), "edges"))
+
+
+@query("read_labels", with_sql(TR, select="SELECT vid, label FROM tr_v"))
+def _(spark, sf):
+    return text.read_labels(spark, _written(sinks.joined(trade_graph(spark, sf).vertices, "vid", "label"), "labels"))
+
+
+@query("read_hub_labels", with_sql(EV, near_sql("c", _ALL_EV, "ev_e", CUT), select="SELECT key AS vid, 0 AS dir, vid AS hub, d FROM c WHERE d <= 2 UNION ALL SELECT vid, 1, key, d FROM c WHERE d <= 2"))
+def _(spark, sf):
+    lines = sinks.joined(index.hub_labels(events_graph(spark, sf), CUT), "vid", "dir", "hub", "d")
+    return text.read_hub_labels(spark, _written(lines, "hub-labels"), delta=2)
+
+
+def _vectors_back(spark, sf, dims: int | None):
+    lines = sinks.vector_lines(_vectors(spark, sf, True)[1], CUT + 1)
+    return text.read_vectors(spark, _written(lines, "vectors"), dims=dims).select("vid", F.array_join(F.transform("v", lambda x: F.coalesce(x.cast("string"), F.lit("far"))), ",").alias("v"))
+
+
+_BACK = f"array_to_string(list_transform({{v}}, lambda x: CASE WHEN x = {CUT + 1} THEN 'far' ELSE CAST(x AS VARCHAR) END), ',')"
+
+
+@query("read_vectors", with_sql(*_DIRECTED, select=f"SELECT vid, {_BACK.format(v='v')} AS v FROM vec"))
+def _(spark, sf):
+    return _vectors_back(spark, sf, None)
+
+
+@query("read_pivots", with_sql(*_DIRECTED, select=f"SELECT vid, {_BACK.format(v='v[1:2]')} AS v FROM vec"))
+def _(spark, sf):
+    return _vectors_back(spark, sf, 2)
+
+
+@query("read_clusters", with_sql(*_BOTH, _MEDOIDS, select="SELECT label, c, CAST(max(dist) OVER (PARTITION BY label, c) AS INTEGER) AS r, member FROM mem"))
+def _(spark, sf):
+    return text.read_clusters(spark, _written(sinks.cluster_lines(_members(spark, sf)[1]), "clusters"))
+
+
+@query("read_relation", with_sql(EV, relation_sql("ev", PATH3, 2), select="SELECT i, j, x, y FROM rel"))
+def _(spark, sf):
+    lines = sinks.joined(relation.distance_relation(events_graph(spark, sf), Pattern.of(PATH3, 2)), "i", "j", "x", "y")
+    return text.read_relation(spark, _written(lines, "relation"))
+
+
+@query("read_relation_graph", "SELECT * FROM (VALUES (0, 1, 1, 3), (0, 1, 0, 3), (1, 3, 0, 3)) t(l0, l1, l2, l3)")
+def _(spark, sf):
+    p = Pattern.of(EV_TRIANGLE, 3)
+    both = [(*a, *b) for k, a in enumerate(p.edges) for b in p.edges[k + 1 :] if p.shared(a, b)]
+    order = {e: k for k, e in enumerate(EV_TRIANGLE)}
+    both = [r if order[r[:2]] < order[r[2:]] else (*r[2:], *r[:2]) for r in both]
+    return text.read_relation_graph(spark, _written(sinks.joined(spark.createDataFrame(both, "l0 int, l1 int, l2 int, l3 int")), "relation-graph"))
+
+
+@query("read_mapped", with_sql(TR, select="SELECT src + dst AS ends, w FROM tr_e"))
+def _(spark, sf):
+    path = _written(sinks.joined(trade_graph(spark, sf).edges, "src", "dst", "w"), "edges")
+    return text.read_mapped(spark, path, lambda c: [(c[0] + c[1], c[2])], "ends long, w int")
+
+
+@query("live_support_text", with_sql(EV, relation_sql("ev", PATH3, 2), arc_sql(PATH3, 6), select="SELECT concat_ws(',', x, y) AS line FROM ac"))
+def _(spark, sf):
+    p = Pattern.of(PATH3, 2)
+    return sinks.joined(consistency.arc_consistent(relation.distance_relation(events_graph(spark, sf), p), p)[1], "x", "y")
+
+
+@query("support_text_without_counts", with_sql(EV, relation_sql("ev", PATH3, 2), arc_sql(PATH3, 6), """o AS (SELECT i AS label, x AS vid, string_agg(format(',[{}-{}]', j, y), '' ORDER BY j, y) AS s FROM ac GROUP BY 1, 2),
+n AS (SELECT j AS label, y AS vid, string_agg(format(',({}-{})', i, x), '' ORDER BY i, x) AS s FROM ac GROUP BY 1, 2)""", select="SELECT concat_ws(',', label, vid) || coalesce(o.s, '') || coalesce(n.s, '') AS line FROM ac_d LEFT JOIN o USING (label, vid) LEFT JOIN n USING (label, vid)"))
+def _(spark, sf):
+    p = Pattern.of(PATH3, 2)
+    return sinks.support_lines(*consistency.arc_consistent(relation.distance_relation(events_graph(spark, sf), p), p), counts=False)

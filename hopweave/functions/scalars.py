@@ -25,3 +25,8 @@ def one_sided(a: Column, b: Column) -> Column:
 def number(cell: Column) -> Column:
     """The integer that a cell of a text file begins with, or 0."""
     return F.coalesce(F.regexp_extract(cell, r"^\s*([+-]?\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+
+
+def nearest_gap(values: Column, x: Column) -> Column:
+    """How far x is from the nearest of an array of values."""
+    return F.array_min(F.transform(values, lambda v: F.abs(v - x)))

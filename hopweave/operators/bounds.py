@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import linf, one_sided
+from ..functions.scalars import linf, nearest_gap, one_sided
 from ..plans.pattern import Pattern
-from ..plans.storage import kept
+from ..plans.storage import drop, kept
 from .consistency import arc_consistent
 
 
@@ -36,47 +36,66 @@ def in_area(vectors: DataFrame, area: DataFrame, label: int, partner: int) -> Da
     return at.join(spans, "dim").where("d BETWEEN lo AND hi").groupBy("vid", "dims").agg(F.count(F.lit(1)).alias("n")).where("n = dims").select("vid")
 
 
-def area_pruned(vectors: DataFrame, pattern: Pattern, rounds: int = 50) -> DataFrame:
-    """label, vid: candidates that stay when, again and again, those outside a partner's area go. For undirected distances."""
-    now, _ = kept(vectors.where(F.col("label").isin(list(pattern.labels))), "candidates")
+def area_pruned(vectors: DataFrame, pattern: Pattern, rounds: int = 50, left_only: bool = False) -> DataFrame:
+    """label, vid: candidates that stay when, again and again, those outside a partner's area go. For undirected distances.
+
+    With left_only, an edge prunes its left label only. Each round of an edge's two sides shrinks the areas of the next, so the end
+    does not depend on the order of edges.
+    """
+    spark = vectors.sparkSession
+    now, at = kept(vectors.where(F.col("label").isin(list(pattern.labels))), "candidates")
     size = now.count()
     for _ in range(rounds):
-        area, _ = kept(areas(now, pattern.delta), "areas")
+        area, area_at = kept(areas(now, pattern.delta), "areas")
         parts = []
         for label in pattern.labels:
             mine = now.where(F.col("label") == label)
-            for partner in sorted(pattern.neighbours(label)):
+            for partner in sorted({j for i, j in pattern.edges if i == label != j} if left_only else pattern.neighbours(label)):
                 mine = mine.join(in_area(now, area, label, partner), "vid", "left_semi")
             parts.append(mine.select("vid", "label", "v"))
-        now, _ = kept(reduce(DataFrame.unionByName, parts), "candidates")
-        count = now.count()
+        now, new_at = kept(reduce(DataFrame.unionByName, parts), "candidates")
+        drop(spark, at, area_at)
+        at, count = new_at, now.count()
         if count == size:
             break
         size = count
     return now.select("label", "vid")
 
 
+def distance_to_group(vectors: DataFrame, label: int) -> DataFrame:
+    """vid, bound: over all dims, the most that a vertex's value is away from the nearest value of the label's vertices.
+
+    No vertex of the label is nearer than that in an undirected graph. The group is its distinct values, of which a dim has
+    as many as there are distances.
+    """
+    group = vectors.where(F.col("label") == label).select(F.posexplode("v").alias("dim", "d")).groupBy("dim").agg(F.collect_set("d").alias("values"))
+    gaps = vectors.select("vid", F.posexplode("v").alias("dim", "d")).join(group, "dim").select("vid", nearest_gap(F.col("values"), F.col("d")).alias("gap"))
+    return gaps.groupBy("vid").agg(F.max("gap").alias("bound"))
+
+
 def band_pairs(vectors: DataFrame, pattern: Pattern, directed: bool = False) -> DataFrame:
     """i, j, x, y of an edge's labels whose bound is at most delta.
 
-    An equi-join on the label pair and on bands of the two dims that tell most apart, each left value going to its band
-    and the next ones; then the bound over all dims. With directed vectors a band has no lower end, so the left value
-    goes to all lower bands too.
+    An equi-join on the label pair and on bands of the dims that tell most apart (two, or one if directed), each left value
+    going to its band and the next ones; then the bound over all dims. With directed vectors a band has no lower end, so
+    the left value goes to all lower bands too; the other dims are filters.
     """
     width = max(pattern.delta, 1)
-    by = _telling(vectors)
+    by = _telling(vectors)[: 1 if directed else 2]
     band = lambda dim: F.floor(F.col("v")[dim] / width).cast("int")
     left, right = vectors.selectExpr("label AS i", "vid AS x", "v"), vectors.selectExpr("label AS j", "vid AS y", "v")
     left = left.where(F.col("i").isin(sorted({i for i, _ in pattern.edges})))
-    right = right.where(F.col("j").isin(sorted({j for _, j in pattern.edges}))).withColumn("b0", band(by[0])).withColumn("b1", band(by[1]))
-    for k in (0, 1):
-        b = band(by[k])
-        top = F.floor(F.lit(_most(vectors)) / width).cast("int")
+    right = right.where(F.col("j").isin(sorted({j for _, j in pattern.edges})))
+    top = F.floor(F.lit(_most(vectors)) / width).cast("int") if directed else None
+    for k, dim in enumerate(by):
+        b = band(dim)
+        right = right.withColumn(f"b{k}", b)
         left = left.withColumn(f"b{k}", F.explode(F.sequence(b - 1, F.greatest(top, b) if directed else b + 1)))
+    keys = [f"b{k}" for k in range(len(by))]
     ends = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pattern.edges))
-    left = left.withColumn("e", F.explode(ends)).where("e.i = i").select("i", "x", F.col("v").alias("a"), "b0", "b1", F.col("e.j").alias("j"))
+    left = left.withColumn("e", F.explode(ends)).where("e.i = i").select("i", "x", F.col("v").alias("a"), *keys, F.col("e.j").alias("j"))
     bound = one_sided(F.col("a"), F.col("v")) if directed else linf(F.col("a"), F.col("v"))
-    return left.join(right, ["j", "b0", "b1"]).where(bound <= pattern.delta).select("i", "j", "x", "y")
+    return left.join(right, ["j", *keys]).where(bound <= pattern.delta).select("i", "j", "x", "y")
 
 
 def _most(vectors: DataFrame) -> int:

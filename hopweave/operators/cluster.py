@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import linf, scatter
 from ..plans.pattern import Pattern
-from ..plans.storage import kept
+from ..plans.storage import drop, kept
+from .bounds import verified
+from .consistency import arc_consistent
 
 
 def seeds(vectors: DataFrame, k: int, salt: int = 0) -> DataFrame:
@@ -28,28 +32,34 @@ def error(members: DataFrame) -> DataFrame:
     return members.groupBy("label").agg(F.sum("dist").alias("error"))
 
 
-def k_medoids(vectors: DataFrame, k: int, rounds: int = 5, salt: int = 0) -> DataFrame:
-    """label, c, member, dist after `rounds` trial swaps of a medoid for another vertex, each label's kept if its error falls.
+def k_medoids(vectors: DataFrame, k: int, rounds: int | None = None, salt: int = 0) -> DataFrame:
+    """label, c, member, dist after trial swaps of a medoid for another vertex, each label's kept if its error falls.
 
-    The swap of a round is fixed: the medoid at place `round` of the label's order, for the vertex next in its
-    pseudo-random order. Empty labels have no clusters; labels of fewer than k vertices have one for each.
+    Without rounds, swaps go on until every medoid of every label has been tried in a row without gain. The swap of a round is
+    fixed: the medoid at place `round` of the label's order, for the vertex next in its pseudo-random order. Empty
+    labels have no clusters; labels of fewer than k vertices have one for each.
     """
-    chosen, _ = kept(seeds(vectors, k, salt), "medoids")
-    members, _ = kept(assigned(vectors, chosen), "members")
-    for r in range(rounds):
+    spark = vectors.sparkSession
+    chosen, chosen_at = kept(seeds(vectors, k, salt), "medoids")
+    members, members_at = kept(assigned(vectors, chosen), "members")
+    r = idle = 0
+    while idle < k if rounds is None else r < rounds:
         by = Window.partitionBy("label")
         place = chosen.withColumn("at", F.row_number().over(by.orderBy("c")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
         out = place.where((F.lit(r) % F.col("n")) == F.col("at")).select("label", F.col("c").alias("old"))
         rest = vectors.select("label", F.col("vid").alias("c")).join(chosen, ["label", "c"], "left_anti")
         new = rest.groupBy("label").agg(F.min_by("c", F.struct(scatter(F.col("c"), salt + r + 1).alias("s"), "c")).alias("new"))
         swap = out.join(new, "label")
-        trial, _ = kept(chosen.join(swap, "label", "left").select("label", F.when(F.col("c") == F.col("old"), F.col("new")).otherwise(F.col("c")).alias("c")), "trial")
-        tried, _ = kept(assigned(vectors, trial), "members")
-        better = error(tried).withColumnRenamed("error", "e").join(error(members), "label").where("e < error").select("label")
-        if better.isEmpty():
-            continue
-        keep = lambda a, b: b.join(better, "label", "left_semi").unionByName(a.join(better, "label", "left_anti"))  # noqa: B023,E731
-        chosen, members = kept(keep(chosen, trial), "medoids")[0], kept(keep(members, tried), "members")[0]
+        trial, trial_at = kept(chosen.join(swap, "label", "left").select("label", F.when(F.col("c") == F.col("old"), F.col("new")).otherwise(F.col("c")).alias("c")), "trial")
+        tried, tried_at = kept(assigned(vectors, trial), "members")
+        better, better_at = kept(error(tried).withColumnRenamed("error", "e").join(error(members), "label").where("e < error").select("label"), "better")
+        r, idle = r + 1, idle + 1
+        if not better.isEmpty():
+            keep = lambda a, b: b.join(better, "label", "left_semi").unionByName(a.join(better, "label", "left_anti"))  # noqa: B023,E731
+            (chosen, a), (members, b) = kept(keep(chosen, trial), "medoids"), kept(keep(members, tried), "members")
+            drop(spark, chosen_at, members_at)
+            chosen_at, members_at, idle = a, b, 0
+        drop(spark, trial_at, tried_at, better_at)
     return members
 
 
@@ -68,11 +78,40 @@ def cluster_pairs(members: DataFrame, vectors: DataFrame, pattern: Pattern) -> D
 
 
 def cluster_join(members: DataFrame, vectors: DataFrame, pattern: Pattern) -> DataFrame:
-    """i, j, x, y within delta by vectors, from pairs of clusters; the ring about a medoid is a filter before the vectors meet."""
+    """i, j, x, y within delta by vectors, from pairs of clusters.
+
+    A vertex within delta of y is within delta of y's ring about the medoid: rings of that width are part of the join's key, so a
+    cluster's vertices meet those of three rings, however many it has.
+    """
     own = members.join(vectors.select(F.col("vid").alias("member"), "v"), "member")
     centre = vectors.select(F.col("vid").alias("c1"), F.col("v").alias("cv"))
     pairs = cluster_pairs(members, vectors, pattern)
     right = pairs.join(own.select(F.col("c").alias("c2"), F.col("member").alias("y"), F.col("v").alias("b"), F.col("label").alias("j")), ["j", "c2"]).join(centre, "c1").withColumn("away", linf(F.col("cv"), F.col("b"))).select("i", "j", "c1", "y", "b", "away")
-    left = own.select(F.col("label").alias("i"), F.col("c").alias("c1"), F.col("member").alias("x"), F.col("v").alias("a"), "dist")
-    delta = F.lit(pattern.delta)
-    return left.join(right, ["i", "c1"]).where(F.col("dist").between(F.col("away") - delta, F.col("away") + delta)).where(linf(F.col("a"), F.col("b")) <= delta).select("i", "j", "x", "y")
+    delta, width = F.lit(pattern.delta), max(pattern.delta, 1)
+    ring = lambda d: F.floor(d / width).cast("int")
+    right = right.withColumn("ring", F.explode(F.sequence(ring(F.col("away") - delta), ring(F.col("away") + delta))))
+    left = own.select(F.col("label").alias("i"), F.col("c").alias("c1"), F.col("member").alias("x"), F.col("v").alias("a"), "dist", ring(F.col("dist")).alias("ring"))
+    return left.join(right, ["i", "c1", "ring"]).where(F.col("dist").between(F.col("away") - delta, F.col("away") + delta)).where(linf(F.col("a"), F.col("b")) <= delta).select("i", "j", "x", "y")
+
+
+def multiway_distance_join(members: DataFrame, vectors: DataFrame, distances: DataFrame, pattern: Pattern, rounds: int | None = None) -> DataFrame:
+    """i, j, x, y: the pairs of each edge within delta (src, dst, d) whose vertices have partners for all edges.
+
+    Edge by edge: candidates from pairs of clusters, of those vertices only that earlier edges of their label have left;
+    then the exact distance; then, over all edges, semi joins until nothing changes (or so many rounds). `match.matches`
+    makes tuples of what is left. For undirected distances.
+    """
+    spark = members.sparkSession
+    left: dict[int, DataFrame] = {}
+    parts, used = [], []
+    for i, j in pattern.edges:
+        mine = members
+        for label in {i, j} & left.keys():
+            mine = mine.where(F.col("label") != label).unionByName(mine.where(F.col("label") == label).join(left[label], "member", "left_semi").select(mine.columns))
+        pairs, at = kept(verified(cluster_join(mine, vectors, Pattern(((i, j),), pattern.delta)), distances, pattern.delta), "edge-pairs")
+        left[i], left[j] = pairs.select(F.col("x").alias("member")).distinct(), pairs.select(F.col("y").alias("member")).distinct()
+        parts.append(pairs)
+        used.append(at)
+    _, reduced = arc_consistent(reduce(DataFrame.unionByName, parts), pattern, rounds)
+    drop(spark, *used)
+    return reduced

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
 from ..plans.storage import drop, kept
-from .relation import edge
+from .relation import completed, edge, virtual_edges
 
 
 def supports(relation: DataFrame) -> DataFrame:
@@ -25,38 +25,53 @@ def _domains(relation: DataFrame, pattern: Pattern) -> DataFrame:
     return supports(relation).groupBy("label", "vid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.element_at(need, F.col("label"))).select("label", "vid")
 
 
-def _within(relation: DataFrame, domains: DataFrame) -> DataFrame:
-    left, right = domains.selectExpr("label AS i", "vid AS x"), domains.selectExpr("label AS j", "vid AS y")
-    return relation.join(left, ["i", "x"], "left_semi").join(right, ["j", "y"], "left_semi").select("i", "j", "x", "y")
+def _without(relation: DataFrame, dead: DataFrame) -> DataFrame:
+    return relation.join(dead.selectExpr("label AS i", "vid AS x"), ["i", "x"], "left_anti").join(dead.selectExpr("label AS j", "vid AS y"), ["j", "y"], "left_anti").select("i", "j", "x", "y")
+
+
+def _unsupported(relation: DataFrame, dead: DataFrame, front: DataFrame) -> DataFrame:
+    """label, vid of vertices that lose their last pair of an edge with the front, the vertices that were dropped last.
+
+    Only ends of pairs with the front are looked at, and the pairs of these ends.
+    """
+    live = _without(relation, dead)
+    out = relation.join(front.selectExpr("label AS j", "vid AS y"), ["j", "y"], "left_semi").select("i", "j", "x").distinct()
+    into = relation.join(front.selectExpr("label AS i", "vid AS x"), ["i", "x"], "left_semi").select("i", "j", "y").distinct()
+    left = out.join(live, ["i", "j", "x"], "left_anti").selectExpr("i AS label", "x AS vid")
+    right = into.join(live, ["i", "j", "y"], "left_anti").selectExpr("j AS label", "y AS vid")
+    return left.unionByName(right).distinct().join(dead, ["label", "vid"], "left_anti")
 
 
 def arc_consistent(relation: DataFrame, pattern: Pattern, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(domains, relation) once no vertex lacks a partner for an edge; with rounds, after so many passes at most.
 
-    Each pass counts supports, drops vertices, and drops pairs by two semi joins; it shrinks what the next one reads.
+    Supports are counted once, for the vertices to drop first. From then on a pass looks only at what stood next to the vertices
+    that the last one has dropped; these alone are written, and the relation is filtered by them once, at the end.
     """
     spark = relation.sparkSession
-    now, at, size = relation, None, None
-    while True:
-        domains = _domains(now, pattern)
-        new, new_at = kept(_within(now, domains), "arc-consistent")
-        count = new.count()
-        if at:
-            drop(spark, at)
-        now, at = new, new_at
-        if rounds is not None:
-            rounds -= 1
-        if count == size or count == 0 or rounds == 0:
-            return kept(_domains(now, pattern), "domains")[0], now
-        size = count
+    ends = relation.selectExpr("i AS label", "x AS vid").unionByName(relation.selectExpr("j AS label", "y AS vid")).distinct()
+    front, front_at = kept(ends.join(_domains(relation, pattern), ["label", "vid"], "left_anti"), "dropped")
+    dead, used, n = front, [front_at], 1
+    while n != rounds and not front.isEmpty():
+        front, front_at = kept(_unsupported(relation, dead, front), "dropped")
+        dead = dead.unionByName(front)
+        used.append(front_at)
+        n += 1
+    now, _ = kept(_without(relation, dead), "arc-consistent")
+    domains, _ = kept(_domains(now, pattern), "domains")
+    drop(spark, *used)
+    return domains, now
 
 
 def path_consistent(relation: DataFrame, pattern: Pattern) -> tuple[DataFrame, DataFrame]:
     """(domains, relation) once each pair also has, for each label next to both of its labels, a vertex that fits both."""
-    size = None
+    spark = relation.sparkSession
+    size, at = None, None
     while True:
         domains, relation = arc_consistent(relation, pattern)
         count = relation.count()
+        if at:
+            drop(spark, at)
         if count == size or count == 0:
             return domains, relation
         size = count
@@ -68,7 +83,16 @@ def path_consistent(relation: DataFrame, pattern: Pattern) -> tuple[DataFrame, D
                 fits = pairs.join(left.withColumnRenamed("a", "x"), "x").join(right.withColumnRenamed("a", "y"), ["y", "z"], "left_semi")
                 pairs = fits.select("x", "y").distinct()
             parts.append(pairs.select(F.lit(i).alias("i"), F.lit(j).alias("j"), "x", "y"))
-        relation, _ = kept(reduce(DataFrame.unionByName, parts), "path-consistent")
+        relation, at = kept(reduce(DataFrame.unionByName, parts), "path-consistent")
+
+
+def path_consistent_completed(relation: DataFrame, pattern: Pattern) -> tuple[DataFrame, DataFrame]:
+    """As path_consistent, over the pattern with an edge more for each two edges in a row that none joins (see `completed`).
+
+    The relation that comes back has the pairs of these edges too.
+    """
+    every, _ = kept(completed(relation, pattern), "completed")
+    return path_consistent(every, Pattern.of([*pattern.edges, *virtual_edges(pattern)], pattern.delta))
 
 
 def _both_ways(relation: DataFrame, pattern: Pattern, a: int, b: int) -> DataFrame:

@@ -1,21 +1,22 @@
 """Shortest distances from many sources at once.
 
-Weights are positive integers. The bounded form settles one distance after another, as Dijkstra's algorithm does, but for
-all sources together: pairs at distance d come from pairs at d - w over edges of weight w and are kept if no smaller
-distance has them. Each distance is one join on (vertex, weight), shuffled by vertex, and one anti-join; it is written
-to the shared folder, so plans stay short and lost executors cost one step.
+Weights are positive integers. All sources are searched together. In the bounded form a round takes what the last
+one made shorter along one edge more, so there are as many rounds as a shortest path of at most the limit has edges, never
+more than limit / lightest weight. The distances so far stand in buckets of (key, vid) in the shared folder: a round moves only
+what it has met, once, and joins it to them where they are. Plans stay short, and a lost executor costs one step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.storage import drop, kept
+from ..functions.scalars import linf, one_sided
+from ..plans.storage import drop, kept, kept_in_buckets
 
 
 def bounded_distances(seeds: DataFrame, edges: DataFrame, limit: int, simple: bool = False) -> DataFrame:
-    """seeds (key, vid) -> key, vid, d: distances of at most limit from any seed of the key. Key is of any type.
+    """seeds (key, vid) -> key, vid, d: distances of at most limit from any seed of the key. Key is of any type that can be hashed.
 
     Edges of a stored graph are simple; others are written here first, one for each pair of ends.
     """
@@ -23,24 +24,46 @@ def bounded_distances(seeds: DataFrame, edges: DataFrame, limit: int, simple: bo
     edges_at = None
     if not simple:
         edges, edges_at = kept(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")).where(F.col("w") <= limit), "edges")
-    low, high = edges.agg(F.min("w"), F.max(F.when(F.col("w") <= limit, F.col("w")))).first()
-    low = low if high is not None or low is None or low < 1 else None
-    if low is not None and low < 1:
+    if (low := edges.agg(F.min("w")).first()[0]) is not None and low < 1:
         raise ValueError("weights must be positive")
-    done, at = kept(seeds.select("key", "vid").distinct().withColumn("d", F.lit(0)), "distance-0")
-    paths, empty = [at], 0
-    for d in range(1, limit + 1 if low is not None else 1):
-        step = done.where(F.col("d").between(d - high, d - low)).join(edges, (F.col("vid") == F.col("src")) & (F.col("w") == F.lit(d) - F.col("d")))
-        new = step.select("key", F.col("dst").alias("vid")).distinct().join(done, ["key", "vid"], "left_anti").withColumn("d", F.lit(d))
-        new, at = kept(new, f"distance-{d}")
-        paths.append(at)
-        empty = empty + 1 if new.isEmpty() else 0
-        if empty >= high:
-            break
-        done = done.unionByName(new)
+    best, at = kept_in_buckets(seeds.select("key", "vid").distinct().select("key", "vid", F.lit(0).alias("d"), F.lit(True).alias("fresh")), "distances", "key", "vid")
+    fresh = low is not None and low <= limit
+    while fresh:
+        met = best.where("fresh").drop("fresh").join(edges.withColumnRenamed("src", "vid"), "vid").select("key", F.col("dst").alias("vid"), (F.col("d") + F.col("w")).alias("n"))
+        met = met.where(F.col("n") <= limit).groupBy("key", "vid").agg(F.min("n").alias("n"))
+        both = best.drop("fresh").join(met, ["key", "vid"], "full").select("key", "vid", F.least("d", "n").alias("d"), F.coalesce(F.col("n") < F.col("d"), F.col("d").isNull()).alias("fresh"))
+        seen = Observation()
+        new, new_at = kept_in_buckets(both.observe(seen, F.count_if("fresh").alias("fresh")), "distances", "key", "vid")
+        fresh = seen.get["fresh"]
+        drop(spark, at)
+        best, at = new, new_at
     if edges_at:
         drop(spark, edges_at)
-    return done
+    return best.select("key", "vid", "d")
+
+
+def guided_distances(pairs: DataFrame, edges: DataFrame, vectors: DataFrame, limit: int, directed: bool = True) -> DataFrame:
+    """pairs (src, dst) -> src, dst, d of those within limit, by a search that bounds guide.
+
+    vectors (vid, v) bound distances from below (see `bounds`): what has come d far goes on only where d and the bound to the
+    target make no more than limit.
+    """
+    spark = pairs.sparkSession
+    own = pairs.select("src", "dst").distinct()
+    ends = own.join(vectors.selectExpr("vid AS dst", "v AS goal"), "dst")
+    steps, steps_at = kept(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")).selectExpr("src AS at", "dst AS to", "w").join(vectors.selectExpr("vid AS to", "v"), "to"), "steps")
+    best, at = kept(ends.select("src", "dst", "goal", F.col("src").alias("at"), F.lit(0).alias("d"), F.lit(True).alias("fresh")), "guided")
+    bound = one_sided(F.col("v"), F.col("goal")) if directed else linf(F.col("v"), F.col("goal"))
+    while not best.where("fresh").isEmpty():
+        met = best.where("fresh").join(steps, "at").where(F.col("d") + F.col("w") + bound <= limit).select("src", "dst", "goal", F.col("to").alias("at"), (F.col("d") + F.col("w")).alias("d"), F.lit(True).alias("new"))
+        every = best.select("src", "dst", "goal", "at", "d", F.lit(False).alias("new")).unionByName(met)
+        # the least distance; fresh if only what is new has it
+        now = every.groupBy("src", "dst", "at").agg(F.any_value("goal").alias("goal"), F.min(F.struct("d", "new")).alias("m")).select("src", "dst", "goal", "at", "m.d", F.col("m.new").alias("fresh"))
+        new, new_at = kept(now, "guided")
+        drop(spark, at)
+        best, at = new, new_at
+    drop(spark, steps_at)
+    return best.where("at = dst").select("src", "dst", "d")
 
 
 def rooted(ends: DataFrame, edges: DataFrame, fixed: DataFrame) -> DataFrame:

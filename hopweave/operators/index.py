@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import scatter
@@ -11,6 +11,8 @@ from ..plans.storage import kept
 from .distance import bounded_distances, closure
 
 OUT, IN = 0, 1
+#: Pseudo-random orders are below this (see `scatter`).
+_RANGE = 1000003
 
 
 def hub_labels(graph: LabeledGraph, limit: int, labels: tuple[int, int] | None = None) -> DataFrame:
@@ -36,28 +38,30 @@ def hub_distances(labels: DataFrame) -> DataFrame:
     return out.join(into, "hub").groupBy("src", "dst").agg(F.min(F.col("d1") + F.col("d2")).alias("d"))
 
 
-def pruned_hub_labels(graph: LabeledGraph, limit: int, first: int = 64) -> DataFrame:
+def pruned_hub_labels(graph: LabeledGraph, limit: int, first: int = 64, order: DataFrame | None = None) -> DataFrame:
     """Hub labels that still give all distances of at most limit, with fewer rows.
 
-    Hubs are taken by degree, in batches that grow fourfold. A label is left out if labels of earlier batches give its
-    distance already; that never loses a distance, as the pair's earliest hub on a shortest path is never left out.
+    Hubs are taken by degree, or by an order (vid, place; see `cover`), in batches that grow fourfold. A label is left out if labels
+    of earlier batches give its distance already; that never loses a distance, as the pair's earliest hub on a shortest path is
+    never left out.
     """
     graph = graph.stored()
-    degree = graph.edges.select(F.explode(F.array("src", "dst")).alias("vid")).groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
-    # a batch's number from the degree alone: no order over all vertices in one task
-    total = degree.count()
-    counts = {r["n"]: r["c"] for r in degree.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    batches, held, size, most = [], [], 0, first
-    for n in sorted(counts, reverse=True):
-        held.append(n)
-        size += counts[n]
+    if order is None:
+        order = graph.edges.select(F.explode(F.array("src", "dst")).alias("vid")).groupBy("vid").agg((-F.count(F.lit(1))).alias("place"))
+    order, _ = kept(order, "hub-order")
+    # batches are ranges of places, from the counts of each place (of degrees, under the square root of twice the edges): no order over all vertices in one task
+    counts = order.groupBy("place").agg(F.count(F.lit(1)).alias("c")).orderBy("place").collect()
+    batches, size, most = [], 0, first
+    for r in counts:
+        if not size:
+            batches.append([r["place"], r["place"]])
+        batches[-1][1] = r["place"]
+        size += r["c"]
         if size >= most:
-            batches.append(held)
-            held, size, most = [], 0, most * 4
-    batches += [held] if held else []
+            size, most = 0, most * 4
     found: DataFrame | None = None
-    for batch in batches if total else []:
-        seeds = degree.where(F.col("n").isin(batch)).select("vid")
+    for low, high in batches:
+        seeds = order.where(F.col("place").between(low, high)).select("vid")
         to_hub = closure(seeds, graph.reversed().edges, limit, True).selectExpr("dst AS vid", f"{OUT} AS dir", "src AS hub", "d")
         from_hub = closure(seeds, graph.edges, limit, True).selectExpr("dst AS vid", f"{IN} AS dir", "src AS hub", "d")
         if found is not None:
@@ -69,6 +73,11 @@ def pruned_hub_labels(graph: LabeledGraph, limit: int, first: int = 64) -> DataF
     return found
 
 
+def average_list_length(labels: DataFrame) -> DataFrame:
+    """dir, vertices, average: how many labels a vertex has on average."""
+    return labels.groupBy("dir", "vid").agg(F.count(F.lit(1)).alias("n")).groupBy("dir").agg(F.count(F.lit(1)).alias("vertices"), (F.sum("n").cast("double") / F.count(F.lit(1)).cast("double")).alias("average"))
+
+
 def _uncovered(new: DataFrame, found: DataFrame, way: int) -> DataFrame:
     """Labels (vid, dir, hub, d) for which no hub in found gives a distance of at most d; v to v always stays."""
     mine = found.where(F.col("dir") == way).selectExpr("vid", "hub AS via", "d AS d1")
@@ -105,16 +114,28 @@ def landmark_ranges(graph: LabeledGraph, distances: DataFrame) -> DataFrame:
     return distances.join(graph.vertices, "vid").groupBy("label", "landmark").agg(F.min("d").alias("nearest"), F.max("d").alias("farthest"))
 
 
-def reference_sets(graph: LabeledGraph, scales: int) -> DataFrame:
-    """dim, vid: scales * scales pseudo-random sets; of those, scales have 2 vertices, scales have 4, and so on."""
-    dims = graph.vertices.sparkSession.range(scales * scales).select(F.col("id").cast("int").alias("dim"), F.expr(f"CAST(shiftleft(1, CAST(id DIV {scales} AS INT) + 1) AS INT)").alias("size"))
-    parts = []
-    for r in dims.collect():  # scales * scales rows
-        parts.append(graph.vertices.orderBy(scatter(F.col("vid"), r["dim"]), "vid").limit(r["size"]).select(F.lit(r["dim"]).alias("dim"), "vid"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return kept(out, "reference-sets")[0]
+def scales_of(vertices: int) -> int:
+    """How many sizes of reference sets a graph of so many vertices has: floor(log2) - 1, 1 at least."""
+    return max(vertices.bit_length() - 2, 1)
+
+
+def reference_sets(graph: LabeledGraph, scales: int | None = None) -> DataFrame:
+    """dim, vid: scales * scales pseudo-random sets; of those, scales have 2 vertices, scales have 4, and so on.
+
+    Without scales they follow from the number of vertices. The vertices are gone over once for all sets; a set's candidates are
+    those under a quantile of its pseudo-random order, so that only they are ranked.
+    """
+    vertices, _ = kept(graph.vertices.select("vid"), "set-vertices")
+    n = vertices.count()
+    scales = scales_of(n) if scales is None else scales
+    dims = scales * scales
+    size = lambda k: 2 << (k // scales)
+    # a set of m of n has about m + 6 sqrt(m) + 20 vertices under this value; all have a place if there are few
+    under = [min(_RANGE, int(_RANGE * (size(k) + 6 * size(k) ** 0.5 + 20) / max(n, 1)) + 1) for k in range(dims)]
+    sets = F.array(*(F.struct(F.lit(k).alias("dim"), F.lit(size(k)).alias("size"), F.lit(under[k]).alias("under")) for k in range(dims)))
+    near = vertices.select("vid", F.explode(sets).alias("s")).select("vid", "s.*").withColumn("at", scatter(F.col("vid"), F.col("dim"))).where("at < under")
+    place = F.row_number().over(Window.partitionBy("dim").orderBy("at", "vid"))
+    return kept(near.withColumn("place", place).where("place <= size").select("dim", "vid"), "reference-sets")[0]
 
 
 def embedding(graph: LabeledGraph, sets: DataFrame, limit: int) -> DataFrame:

@@ -58,10 +58,16 @@ def composed(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.withColumnRenamed("y", "z").join(right.withColumnRenamed("x", "z"), "z").select("x", "y").distinct()
 
 
+def virtual_edges(pattern: Pattern) -> list[tuple[int, int]]:
+    """Pairs of labels that are joined by two edges but by none itself."""
+    have = set(pattern.edges)
+    return sorted({(i, j) for i, k in have for k2, j in have if k == k2 and i != j and (i, j) not in have})
+
+
 def completed(relation: DataFrame, pattern: Pattern) -> DataFrame:
     """The relation, with a composed edge for each pair of labels that is joined by two edges but by none itself."""
     have = set(pattern.edges)
-    more = sorted({(i, j) for i, k in have for k2, j in have if k == k2 and i != j and (i, j) not in have})
+    more = virtual_edges(pattern)
     parts = [relation.select("i", "j", "x", "y")]
     for i, j in more:
         ways = [composed(edge(relation, i, k), edge(relation, k, j)) for k in sorted(pattern.neighbours(i) & pattern.neighbours(j)) if (i, k) in have and (k, j) in have]

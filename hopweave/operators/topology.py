@@ -75,7 +75,7 @@ def topological_levels(edges: DataFrame) -> DataFrame:
         new, new_at = kept(met.join(now, "vid").where("n > level").select("vid", F.col("n").alias("level")), "front")
         if new.isEmpty():
             drop(spark, edges_at, core_at)
-            return roots.join(now.withColumnRenamed("vid", "root"), "root").select("vid", (F.col("level") + F.col("off")).alias("level"))
+            return roots.join(now.withColumnRenamed("vid", "root"), "root").select("vid", (F.col("level") + F.col("off")).cast("int").alias("level"))
         rounds += 1
         most = most if most is not None else now.count()
         if rounds >= most:
@@ -86,18 +86,19 @@ def topological_levels(edges: DataFrame) -> DataFrame:
 
 
 def reachability(edges: DataFrame) -> DataFrame:
-    """src, dst: all pairs with a path of an edge or more, by doubling of path lengths."""
+    """src, dst: all pairs with a path of an edge or more, by doubling of path lengths. A round joins what the last one found only."""
     spark = edges.sparkSession
     now, at = kept(edges.select("src", "dst").distinct(), "reach")
-    size = now.count()
+    front, front_at = now, None
     while True:
-        longer = now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        new, new_at = kept(now.unionByName(longer).distinct(), "reach")
-        drop(spark, at)
-        now, at, count = new, new_at, new.count()
-        if count == size:
+        longer = lambda a, b: a.selectExpr("src", "dst AS mid").join(b.selectExpr("src AS mid", "dst"), "mid").select("src", "dst")
+        met = longer(front, now) if front_at is None else longer(front, now).unionByName(longer(now, front))
+        new, new_at = kept(met.distinct().join(now, ["src", "dst"], "left_anti"), "reach-front")
+        if new.isEmpty():
             return now
-        size = count
+        merged, merged_at = kept(now.unionByName(new), "reach")
+        drop(spark, at, *([front_at] if front_at else []))
+        now, at, front, front_at = merged, merged_at, new, new_at
 
 
 def dense_ids(ordered: DataFrame, key: str, position: str, first: int = 0) -> DataFrame:

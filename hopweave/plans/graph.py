@@ -74,3 +74,12 @@ class LabeledGraph:
 
     def group_sizes(self) -> DataFrame:
         return self.vertices.groupBy("label").agg(F.count(F.lit(1)).alias("vertices"))
+
+    def label_count(self) -> DataFrame:
+        """labels: how many different ones vertices have."""
+        return self.vertices.agg(F.countDistinct("label").alias("labels"))
+
+
+def group_sizes_of(labels: DataFrame) -> DataFrame:
+    """label, vertices, of labels (vid, label) whether or not a vertex has an edge."""
+    return labels.groupBy("label").agg(F.countDistinct("vid").alias("vertices"))

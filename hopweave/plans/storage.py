@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_BUCKETED = "-in-buckets"
 _own: dict[str, str] = {}
 
 
@@ -31,6 +32,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes tables written by `kept` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     for p in paths:
+        if p.endswith(_BUCKETED):
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(p)}")
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -45,6 +48,20 @@ def kept(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
     return (back.select(*df.columns) if by else back), path
 
 
+def kept_in_buckets(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """As kept, in a bucket for each shuffle partition of `by`: joins and groups on these columns do not move it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/hopweave/{uuid.uuid4().hex}-{name}{_BUCKETED}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(_table_name(path))
+    atexit.register(_forget, spark, path)
+    return spark.table(_table_name(path)), path
+
+
+def _table_name(path: str) -> str:
+    return "hopweave_" + path.rsplit("/", 1)[-1][:32]
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         drop(spark, path)

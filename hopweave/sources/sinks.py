@@ -44,3 +44,15 @@ def support_lines(domains: DataFrame, relation: DataFrame, counts: bool = True)
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str, append: bool = False) -> None:
+    """A file of its own with the text, as for logs."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.append(at) if append and fs.exists(at) else fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

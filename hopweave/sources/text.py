@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import number
 from ..operators.topology import dense_ids
+from .sinks import joined, write_lines
 
 
 def lines(spark: SparkSession, path: str, terminated: bool = True) -> DataFrame:
@@ -50,9 +55,10 @@ def read_hub_labels(spark: SparkSession, path: str, delim: str = ",", delta: int
     return out if delta is None else out.where(F.col("d") <= delta)
 
 
-def read_vectors(spark: SparkSession, path: str, delim: str = ",") -> DataFrame:
-    """vid, v: distances to sets, landmarks or pivots; -1 is null (beyond)."""
-    v = F.transform(F.expr("slice(cells, 2, size(cells) - 1)"), lambda x: F.nullif(x, F.lit(-1)).cast("int"))
+def read_vectors(spark: SparkSession, path: str, delim: str = ",", dims: int | None = None) -> DataFrame:
+    """vid, v: distances to sets, landmarks or pivots, of the first `dims` at most; -1 is null (beyond)."""
+    end = "size(cells) - 1" if dims is None else f"least(size(cells) - 1, {int(dims)})"
+    v = F.transform(F.expr(f"slice(cells, 2, {end})"), lambda x: F.nullif(x, F.lit(-1)).cast("int"))
     return rows(spark, path, delim, 1).select(F.col("cells")[0].alias("vid"), v.alias("v"))
 
 
@@ -73,6 +79,19 @@ def read_relation_graph(spark: SparkSession, path: str, delim: str = ",") -> Dat
     return rows(spark, path, delim, 4).select(*(F.col("cells")[k].cast("int").alias(f"l{k}") for k in range(4)))
 
 
+def read_mapped(spark: SparkSession, path: str, f: Callable[[list[int]], Iterable[tuple]], schema: str, delim: str = ",", least: int = 1) -> DataFrame:
+    """What f makes of each row's integers: rows of the schema. f runs where the lines are read, a batch of rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [tuple(x) for cells in batch.column("cells").to_pylist() for x in f(cells)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k.type) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], schema=kinds)
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return rows(spark, path, delim, least).select("cells").mapInArrow(run, schema)
+
+
 def encoded(spark: SparkSession, edges_path: str, labels_path: str, delim: str = "\t", label_delim: str = ",") -> tuple[DataFrame, DataFrame]:
     """Edges (src, dst) and labels (vid, label) with dense numbers: vertices from 0, labels from 1, as they are first met.
 
@@ -86,3 +105,10 @@ def encoded(spark: SparkSession, edges_path: str, labels_path: str, delim: str =
     named = rows(spark, labels_path, label_delim, 2, terminated=False).select(c[0].alias("raw"), c[1].alias("name"), "place").join(ids, "raw")
     labels = dense_ids(named, "name", "place", 1).withColumnRenamed("id", "label")
     return edges, named.join(labels, "name").select(F.col("id").alias("vid"), F.col("label").cast("int"))
+
+
+def write_encoded(spark: SparkSession, edges_path: str, labels_path: str, edges_to: str, labels_to: str, delim: str = "\t", label_delim: str = ",") -> None:
+    """Both files again with dense numbers (see `encoded`), as lines of integers."""
+    edges, labels = encoded(spark, edges_path, labels_path, delim, label_delim)
+    write_lines(joined(edges, "src", "dst"), edges_to)
+    write_lines(joined(labels, "vid", "label"), labels_to)

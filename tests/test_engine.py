@@ -8,10 +8,10 @@ import pytest
 
 from hopweave import catalog
 from hopweave.fixtures import trade_graph
-from hopweave.operators import bounds, cluster, consistency, distance, index, match, relation, topology
+from hopweave.operators import bounds, cluster, consistency, cover, distance, index, match, relation, topology
 from hopweave.operators.distance import all_distances, closure
 from hopweave.plans.graph import LabeledGraph
-from hopweave.plans import storage
+from hopweave.plans import metrics, storage
 from hopweave.plans.pattern import BACKWARD, FORWARD, Pattern
 
 
@@ -190,6 +190,117 @@ def reached(edges, start):
     return out
 
 
+def plain_medoids(vec, k):
+    """As cluster.k_medoids without rounds: vec is {label: {vid: vector}}."""
+    scatter = lambda v, salt: ((v + 1) * 2654435761 + salt * 40503) % 1000003
+    far = lambda a, b: max(abs(x - y) for x, y in zip(a, b))
+
+    def members(own, med):
+        return {v: min((far(x, own[c]), c) for c in med) for v, x in own.items()}
+
+    med = {m: sorted(own, key=lambda v: (scatter(v, 0), v))[:k] for m, own in vec.items()}
+    got = {m: members(own, med[m]) for m, own in vec.items()}
+    r = idle = 0
+    while idle < k:
+        r, idle, swaps = r + 1, idle + 1, {}
+        for m, own in vec.items():
+            out, rest = sorted(med[m])[(r - 1) % len(med[m])], [v for v in own if v not in med[m]]
+            if rest:
+                swaps[m] = [min(rest, key=lambda v: (scatter(v, r), v)) if c == out else c for c in med[m]]
+        for m, trial in swaps.items():
+            new = members(vec[m], trial)
+            if sum(d for d, _ in new.values()) < sum(d for d, _ in got[m].values()):
+                med[m], got[m], idle = trial, new, 0
+    return {(m, c, v, d) for m in vec for v, (d, c) in got[m].items()}
+
+
+def test_medoids_are_swapped_until_none_gains(spark):
+    edges, labels = random_graph(21, 40, 90)
+    g = graph(spark, edges, labels, False)
+    v = index.vectors(g, index.embedding(g, index.reference_sets(g, 2), 3), 4, 3)
+    vec = {}
+    for x in v.collect():
+        vec.setdefault(x.label, {})[x.vid] = x.v
+    assert {tuple(x) for x in cluster.k_medoids(v, 3).collect()} == plain_medoids(vec, 3)
+
+
+def test_reference_sets_follow_the_size(spark):
+    edges, labels = random_graph(22, 40, 90)
+    g = graph(spark, edges, labels)
+    vids = sorted(x.vid for x in g.vertices.collect())
+    scales = index.scales_of(len(vids))
+    want = {(k, v) for k in range(scales * scales) for v in sorted(vids, key=lambda v: (((v + 1) * 2654435761 + k * 40503) % 1000003, v))[: 2 << (k // scales)]}
+    assert scales == 4 and {tuple(x) for x in index.reference_sets(g).collect()} == want
+    big = spark.range(5000).selectExpr("id AS src", "id + 1 AS dst")
+    sizes = {x.dim: x["count"] for x in index.reference_sets(LabeledGraph.of(big)).groupBy("dim").count().collect()}
+    assert sizes == {k: 2 << (k // 11) for k in range(121)}
+
+
+def test_guided_search_finds_the_same(spark):
+    edges, labels = random_graph(23, 30, 80)
+    for directed in (True, False):
+        g = graph(spark, edges, labels, directed)
+        v = index.vectors(g, index.embedding(g, index.reference_sets(g, 2), 4), 4, 4)
+        pairs = g.vertices.selectExpr("vid AS src").crossJoin(g.vertices.selectExpr("vid AS dst"))
+        got = {tuple(x) for x in distance.guided_distances(pairs, g.edges, v, 5, directed).collect()}
+        assert got == {tuple(x) for x in closure(g.vertices, g.edges, 5).collect()}
+
+
+def test_covers_and_their_labels(spark):
+    edges, labels = random_graph(24, 24, 50)
+    g = graph(spark, edges, labels).stored()
+    hubs = {x.vid for x in cover.cover_hubs(g.edges).collect()}
+    left = [(a, b) for a, b, _ in edges if a != b and a not in hubs and b not in hubs]
+    to = {}
+    for a, b in left:
+        to.setdefault(a, []).append(b)
+    assert hubs and not any(a in reached(to, b) for a, b in left)
+    order = cover.cover_order(g)
+    assert order.count() == g.vertices.count() == order.select("vid").distinct().count()
+    pruned = index.pruned_hub_labels(g, 4, 3, order)
+    near = {tuple(x) for x in closure(g.vertices, g.edges, 4).collect()}
+    assert {tuple(x) for x in index.hub_distances(pruned).where("d <= 4").collect()} == near
+    assert pruned.count() < 2 * len(near)
+    triangle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 1)], "src long, dst long")
+    assert sorted(x.cycle for x in cover.short_cycles(triangle, 3).collect()) == [[1, 2], [1, 2, 3]]
+    chain = spark.createDataFrame([(k, k + 1) for k in range(8)], "src long, dst long")
+    assert {x.vid: x.bit for x in cover.bisection_places(chain).collect()} == {0: 0, 1: 1, 2: 0, 3: 2, 4: 0, 5: 1, 6: 0, 7: 3}
+
+
+def test_distances_with_heavy_edges_take_few_rounds(spark, monkeypatch):
+    r = random.Random(25)
+    edges = [(r.randrange(40), r.randrange(40), r.randint(40, 90)) for _ in range(160)]
+    written = []
+    monkeypatch.setattr(distance, "kept_in_buckets", lambda df, name, *by: written.append(name) or storage.kept_in_buckets(df, name, *by))
+    g = graph(spark, edges).stored()
+    got = {(x.src, x.dst): x.d for x in closure(g.vertices, g.edges, 300, True).collect()}
+    real = [e for e in edges if e[0] != e[1]]
+    ends = sorted({v for a, b, _ in real for v in (a, b)})
+    assert got == {(s, v): d for s in ends for v, d in dijkstra(real, s).items() if d <= 300} and len(written) <= 9
+
+
+def test_run_metrics(spark):
+    run = metrics.Run(spark)
+    with run.stage("index"):
+        pass
+    assert run.counted("rows", spark.range(7)).count() == 7
+    assert [(x.stage, x.rows) for x in run.table().collect()] == [("index", None), ("rows", 7)] and all(x.seconds >= 0 for x in run.table().collect())
+
+
+def test_storage_needs_a_shared_folder_on_a_cluster(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": lambda *_: None})()
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
+
+
 def test_components_of_the_whole_trade_graph(spark):
     sf = "/root/testdata/sf0.001"
     to, back = {}, {}
@@ -202,5 +313,5 @@ def test_components_of_the_whole_trade_graph(spark):
             both = reached(to, v) & reached(back, v)
             seen |= both
             want |= {u: min(both) for u in both if len(both) > 1}
-    got = {x.vid: x.comp for x in catalog.QUERIES["scc_of_trade_graph"](spark, sf).collect()}
+    got = {x.vid: x.comp for x in catalog.QUERIES["scc_components"](spark, sf).collect()}
     assert got == want and {v % 8 for v in got} == {0, 1, 2, 3, 4}

@@ -41,3 +41,17 @@ def test_lines_read_back(spark, tmp_path):
     dom = spark.createDataFrame([(0, 5), (1, 6), (1, 8)], "label int, vid long")
     assert sorted(x.line for x in sinks.support_lines(dom, rel).collect()) == ["0,5,2,[1-6],[1-7],0", "1,6,0,1,(0-5)", "1,8,0,0"]
     assert sorted(x.line for x in sinks.support_lines(dom, rel, counts=False).collect()) == ["0,5,[1-6],[1-7]", "1,6,(0-5)", "1,8"]
+
+
+def test_rows_mapped_and_files_written(spark, tmp_path):
+    at = write(tmp_path / "m", ["1,2,3", "# no", "4,5"])
+    assert sorted(map(tuple, text.read_mapped(spark, at, lambda c: [(c[0], len(c)), (c[1], 0)], "x long, n int").collect())) == [(1, 3), (2, 0), (4, 2), (5, 0)]
+    at = write(tmp_path / "p", ["7,1,-1,3"])
+    assert [tuple(x) for x in text.read_vectors(spark, at, dims=2).collect()] == [(7, [1, None])]
+    e = write(tmp_path / "e", ["30\t10", "10\t20"])
+    l = write(tmp_path / "l", ["10,7", "20,9"])
+    text.write_encoded(spark, e, l, f"file://{tmp_path}/e2", f"file://{tmp_path}/l2")
+    assert {tuple(x) for x in text.read_edges(spark, f"file://{tmp_path}/e2").select("src", "dst").collect()} == {(0, 1), (1, 2)}
+    assert {tuple(x) for x in text.read_labels(spark, f"file://{tmp_path}/l2").collect()} == {(1, 1), (2, 2)}
+    sinks.write_text(spark, f"file://{tmp_path}/log", "one\n")
+    assert (tmp_path / "log").read_text() == "one\n"
