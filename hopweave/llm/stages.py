@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .decontaminate import COVERAGE, Matcher, matching
 from .minhash_dedup import near_duplicates
@@ -40,7 +41,15 @@ def _all(docs: DataFrame, but: str = "") -> list[Column]:
 
 
 def _mapped(docs: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], like: DataFrame) -> DataFrame:
-    return docs.mapInArrow(f, like.schema)
+    """f over docs, to the columns of like. On the way columns have plain names, as mapInArrow looks for a dotted one inside another."""
+    names, given = docs.columns, like.schema.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in f(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, [f"c{i}" for i in range(len(given))])
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(run, T.StructType([T.StructField(f"c{i}", x.dataType) for i, x in enumerate(given)])).toDF(*like.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

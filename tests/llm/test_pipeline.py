@@ -109,14 +109,14 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 def plain_decontaminate(rows, items):
     windows = set()
     for item in items:
-        ws = [w.lower() for w in WORD.findall(item.encode())]
+        ws = WORD.findall(item.encode().lower())
         windows |= {tuple(ws[i : i + 10]) for i in range(max(1, len(ws) - 9))} if ws else set()
     sizes = {len(w) for w in windows}
     out = []
     for d, t, *rest in rows:
         text = (t or "").encode()
-        at = list(WORD.finditer(text))
-        ws = [m[0].lower() for m in at]
+        at = list(WORD.finditer(text.lower()))
+        ws = [m[0] for m in at]
         hit = sorted({k for n in sizes for i in range(len(ws) - n + 1) if tuple(ws[i : i + n]) in windows for k in range(i, i + n)})
         if 2 * len(hit) > len(ws):
             continue
@@ -148,9 +148,9 @@ def test_every_stage_against_a_plain_version(spark):
     now, rows = docs, every
     for (name, stage), own in zip(corpus_pipeline.STAGES, plain):
         now, _ = kept(stage(spark, now, DATA), "stage")
-        before, rows = len(rows), own(rows)
+        before, rows = sorted(rows), own(rows)
         assert sorted(map(tuple, now.collect())) == sorted(rows), name
-        assert stage is stages.without_repeats or len(rows) != before
+        assert sorted(rows) != before, name
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(rows)
 
 
