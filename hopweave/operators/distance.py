@@ -28,10 +28,12 @@ def bounded_distances(seeds: DataFrame, edges: DataFrame, limit: int, simple: bo
         raise ValueError("weights must be positive")
     best, at = kept_in_buckets(seeds.select("key", "vid").distinct().select("key", "vid", F.lit(0).alias("d"), F.lit(True).alias("fresh")), "distances", "key", "vid")
     fresh = low is not None and low <= limit
+    # what has become shorter and can go on
+    shorter = F.coalesce(F.col("n") < F.col("d"), F.col("d").isNull()) & (F.col("n") + F.lit(low) <= limit)
     while fresh:
         met = best.where("fresh").drop("fresh").join(edges.withColumnRenamed("src", "vid"), "vid").select("key", F.col("dst").alias("vid"), (F.col("d") + F.col("w")).alias("n"))
         met = met.where(F.col("n") <= limit).groupBy("key", "vid").agg(F.min("n").alias("n"))
-        both = best.drop("fresh").join(met, ["key", "vid"], "full").select("key", "vid", F.least("d", "n").alias("d"), F.coalesce(F.col("n") < F.col("d"), F.col("d").isNull()).alias("fresh"))
+        both = best.drop("fresh").join(met, ["key", "vid"], "full").select("key", "vid", F.least("d", "n").alias("d"), F.coalesce(shorter, F.lit(False)).alias("fresh"))
         seen = Observation()
         new, new_at = kept_in_buckets(both.observe(seen, F.count_if("fresh").alias("fresh")), "distances", "key", "vid")
         fresh = seen.get["fresh"]
