@@ -63,8 +63,11 @@ def arc_consistent(relation: DataFrame, pattern: Pattern, rounds: int | None = N
     return domains, now
 
 
-def path_consistent(relation: DataFrame, pattern: Pattern) -> tuple[DataFrame, DataFrame]:
-    """(domains, relation) once each pair also has, for each label next to both of its labels, a vertex that fits both."""
+def path_consistent(relation: DataFrame, pattern: Pattern, either_way: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(domains, relation) once each pair also has, for each label next to both of its labels, a vertex that fits both.
+
+    A vertex fits by all edges between the two labels, or with either_way by one of them, whatever its direction; that drops less.
+    """
     spark = relation.sparkSession
     size, at = None, None
     while True:
@@ -79,7 +82,7 @@ def path_consistent(relation: DataFrame, pattern: Pattern) -> tuple[DataFrame, D
         for i, j in pattern.edges:
             pairs = edge(relation, i, j)
             for k in sorted((pattern.neighbours(i) & pattern.neighbours(j)) - {i, j}):
-                left, right = _both_ways(relation, pattern, i, k).withColumnRenamed("b", "z"), _both_ways(relation, pattern, j, k).withColumnRenamed("b", "z")
+                left, right = (_both_ways(relation, pattern, v, k, either_way).withColumnRenamed("b", "z") for v in (i, j))
                 fits = pairs.join(left.withColumnRenamed("a", "x"), "x").join(right.withColumnRenamed("a", "y"), ["y", "z"], "left_semi")
                 pairs = fits.select("x", "y").distinct()
             parts.append(pairs.select(F.lit(i).alias("i"), F.lit(j).alias("j"), "x", "y"))
@@ -95,11 +98,11 @@ def path_consistent_completed(relation: DataFrame, pattern: Pattern) -> tuple[Da
     return path_consistent(every, Pattern.of([*pattern.edges, *virtual_edges(pattern)], pattern.delta))
 
 
-def _both_ways(relation: DataFrame, pattern: Pattern, a: int, b: int) -> DataFrame:
-    """Pairs (a, b) of vertices of two labels that hold every edge between the labels, of either direction."""
+def _both_ways(relation: DataFrame, pattern: Pattern, a: int, b: int, either_way: bool) -> DataFrame:
+    """Pairs (a, b) of vertices of two labels that hold every edge between the labels, of either direction, or one of them."""
     ways = [edge(relation, a, b).selectExpr("x AS a", "y AS b")] if (a, b) in pattern.edges else []
     ways += [edge(relation, b, a).selectExpr("y AS a", "x AS b")] if (b, a) in pattern.edges else []
-    return reduce(lambda p, q: p.join(q, ["a", "b"], "left_semi"), ways)
+    return reduce(lambda p, q: p.unionByName(q).distinct() if either_way else p.join(q, ["a", "b"], "left_semi"), ways)
 
 
 def result_totals(domains: DataFrame, relation: DataFrame) -> DataFrame:

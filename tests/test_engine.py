@@ -135,6 +135,14 @@ def test_path_consistency_is_stronger(spark):
     assert consistency.arc_consistent(rel, p)[0].count() == 6 and consistency.path_consistent(rel, p)[0].count() == 0
 
 
+def test_path_consistency_by_either_way_drops_less(spark):
+    # 0 and 1 are joined both ways; 100 fits 1 by one edge and 10 by one of two
+    rows = [(0, 1, 1, 10), (0, 1, 2, 20), (1, 0, 10, 1), (1, 0, 20, 2), (0, 2, 1, 100), (0, 2, 2, 100), (2, 0, 100, 2), (1, 2, 10, 100), (1, 2, 20, 100), (2, 0, 101, 1), (0, 2, 2, 101), (1, 2, 20, 101), (1, 2, 10, 101)]
+    rel, p = spark.createDataFrame(rows, "i int, j int, x long, y long"), Pattern.of([(0, 1), (1, 0), (0, 2), (2, 0), (1, 2)], 1)
+    strict, loose = ({tuple(x) for x in consistency.path_consistent(rel, p, way)[1].collect()} for way in (False, True))
+    assert strict == {(0, 1, 2, 20), (1, 0, 20, 2), (0, 2, 2, 100), (2, 0, 100, 2), (1, 2, 20, 100)} and strict < loose
+
+
 def test_components_and_levels(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 3), (6, 6), (5, 7), (8, 9), (9, 8)], "src long, dst long")
     got = {x.vid: x.comp for x in topology.strong_components(e).collect()}
