@@ -50,7 +50,8 @@ ROUNDS, MAX_BITS, SMALLER = 4, 13, (0, 1, 2, 0)
 PRIOR, FIRST, STEP = 10.0, (0.6, 0.25, 0.15, 0.6), 0.8
 #: Expected shares are summed in units of one in 2**14.
 UNIT = 1 << 14
-BATCH, BLOCK = 1 << 14, 512
+#: Tokens whose classes are weighed at a time, and whose expected classes are summed at a time; rows of a block of sums.
+STRIP, BATCH, BLOCK = 1 << 11, 1 << 16, 512
 #: Tokens of a row that are summed one by one with others' (see `add_rows`).
 LONG = 32
 END_HASH = 0x6C9E3C5A7F1B2D43
@@ -60,6 +61,12 @@ CONTEXTS = CLASSES + 1
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+#: Part of a word's shape, by its last byte: a letter, a full stop, a comma, or anything else.
+ENDING = np.full(256, 12, dtype=np.int64)
+ENDING[97:123] = ENDING[128:] = 0
+ENDING[46], ENDING[44] = 4, 8
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
@@ -69,11 +76,9 @@ def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c.words(lower=True)
     h = c.word_hashes()
     size = c.end - c.start
-    last = c.data[c.end - 1]
-    ending = np.where((last >= 97) & (last <= 122) | (last >= 128), 0, np.where(last == 46, 1, np.where(last == 44, 2, 3)))
-    wide = np.flatnonzero(c.data >= 128)
-    foreign = np.searchsorted(wide, c.end) > np.searchsorted(wide, c.start)
-    shape = ending * 4 + foreign * 2 + (size > 7)
+    wide = np.zeros(len(c.data) + 1, dtype=np.int32)
+    np.cumsum(c.data >= 128, out=wide[1:])
+    shape = ENDING[c.data[c.end - 1]] + (wide[c.end] > wide[c.start]) * 2 + (size > 7)
     n = c.last - c.first
     begin = c.first + np.arange(len(n))
     at = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
@@ -199,31 +204,42 @@ def features(prior: list[np.ndarray], tables: tuple[int, ...]) -> np.ndarray:
     return rows
 
 
-def _scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of weights: under 40 or so, so that float32 holds their exponentials."""
-    y = bias + weights[rows[:, 0]]
-    for j in range(1, rows.shape[1]):
-        y += weights[rows[:, j]]
-    return y
-
+class Softmax:
+    """Exponentials of the sums of weights of some tokens at a time, in buffers that stay in cache.
 
-def class_chances(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Chance of each class for each token."""
-    y = _scores(weights, bias, rows)
-    np.exp(y, out=y)
-    y *= 1 / y.sum(axis=1, keepdims=True)
-    return y
+    Sums of weights are under 40 or so, so that float32 holds their exponentials.
+    """
 
+    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+        self.weights, self.bias = weights, bias
+        self.y, self.more = (np.empty((STRIP, weights.shape[1]), dtype=np.float32) for _ in range(2))
+
+    def strips(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First token, sums of weights and their exponentials (which take the buffers of the next strip) of strips of tokens."""
+        for a in range(0, len(rows), STRIP):
+            part = rows[a : a + STRIP]
+            y, more = self.y[: len(part)], self.more[: len(part)]
+            # rows are within the table; mode only spares a copy
+            np.take(self.weights, part[:, 0], axis=0, out=y, mode="clip")
+            y += self.bias
+            for j in range(1, part.shape[1]):
+                y += np.take(self.weights, part[:, j], axis=0, out=more, mode="clip")
+            yield a, y, np.exp(y, out=more)
+
+    def chances(self, rows: np.ndarray) -> np.ndarray:
+        """Chance of each class for each token."""
+        out = np.empty((len(rows), self.weights.shape[1]), dtype=np.float32)
+        for a, _, e in self.strips(rows):
+            np.multiply(e, (1 / np.einsum("ij->i", e))[:, None], out=out[a : a + len(e)])
+        return out
 
-def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """log10 of the chance of each token's own class."""
-    out = np.empty(len(rows))
-    for a in range(0, len(rows), BATCH):
-        y = _scores(weights, bias, rows[a : a + BATCH])
-        own = y[np.arange(len(y)), kind[a : a + BATCH]].astype(np.float64)
-        np.exp(y, out=y)
-        out[a : a + BATCH] = (own - np.log(y.sum(axis=1))) / np.log(10)
-    return out
+    def logs(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """log10 of the chance of each token's own class."""
+        out = np.empty(len(rows))
+        for a, y, e in self.strips(rows):
+            own = y[np.arange(len(y)), kind[a : a + len(y)]].astype(np.float64)
+            out[a : a + len(y)] = (own - np.log(np.einsum("ij->i", e))) / np.log(10)
+        return out
 
 
 def add_rows(sums: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
@@ -248,25 +264,41 @@ def add_rows(sums: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
 
 
 class Expected:
-    """How often each class is expected in each row, in units. Two classes share 64 bits until either could leave its half."""
+    """How often each class is expected in each row, in units, of batches of tokens. Two classes share 64 bits until either could leave its half."""
 
     def __init__(self, model: Model):
-        self.model, self.pairs = model, np.zeros((len(model.weights), CLASSES // 2), dtype=np.int64)
-        self.sums, self.tokens = np.zeros(model.weights.shape, dtype=np.int64), 0
+        self.softmax = Softmax(model.weights, model.bias)
+        self.pairs, self.sums = np.zeros((len(model.weights), CLASSES // 2), dtype=np.int64), np.zeros(model.weights.shape, dtype=np.int64)
+        self.units, self.rows = np.empty((BATCH, CLASSES), dtype=np.int32), np.empty((BATCH, len(model.tables)), dtype=np.int64)
+        self.held = self.tokens = 0
 
     def add(self, rows: np.ndarray) -> None:
-        for a in range(0, len(rows), BATCH):
-            part = rows[a : a + BATCH]
-            if (self.tokens + len(part)) * UNIT >= 1 << 32:
-                self.flush()
-            pairs = np.rint(class_chances(self.model.weights, self.model.bias, part) * np.float32(UNIT)).astype(np.int32).view(np.int64)
-            for j in range(rows.shape[1]):
-                add_rows(self.pairs, pairs, part[:, j])
-            self.tokens += len(part)
-
-    def flush(self) -> np.ndarray:
+        for a in range(0, len(rows), STRIP):
+            part = rows[a : a + STRIP]
+            if self.held + len(part) > BATCH:
+                self._sum()
+            at = slice(self.held, self.held + len(part))
+            for _, _, e in self.softmax.strips(part):
+                np.rint(np.multiply(e, (np.float32(UNIT) / np.einsum("ij->i", e))[:, None], out=e), out=e)
+                self.units[at] = e
+            self.rows[at] = part
+            self.held += len(part)
+
+    def _sum(self) -> None:
+        if (self.tokens + self.held) * UNIT >= 1 << 32:
+            self._flush()
+        for j in range(self.rows.shape[1] if self.held else 0):
+            add_rows(self.pairs, self.units[: self.held].view(np.int64), self.rows[: self.held, j])
+        self.tokens += self.held
+        self.held = 0
+
+    def _flush(self) -> None:
         self.sums += self.pairs.view(np.uint32)
         self.pairs[:], self.tokens = 0, 0
+
+    def total(self) -> np.ndarray:
+        self._sum()
+        self._flush()
         return self.sums
 
 
@@ -479,7 +511,7 @@ def _residues(shared):
                 rows = features(before(code, begin), model.tables)
                 came.add((rows * CLASSES + kind[:, None]).ravel())
                 expected.add(rows)
-        yield from _blocks(came.flush().reshape(model.weights.shape) * UNIT - expected.flush())
+        yield from _blocks(came.flush().reshape(model.weights.shape) * UNIT - expected.total())
 
     return run
 
@@ -488,7 +520,7 @@ def _scored(shared, totals):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
         every, kinds, per_class = totals
-        words = model.words
+        words, softmax = model.words, Softmax(model.weights, model.bias)
         in_class = np.log10(words.count + ALPHA) if len(words.h) else np.zeros(0)
         for batch in batches:
             ids, tks, held = (batch.column(k) for k in ("did", "tk", "held_out"))
@@ -496,7 +528,7 @@ def _scored(shared, totals):
                 h, shape, begin = tokens(c)
                 place, number, kind, code = model.placed(h, shape)
                 rows = features(before(code, begin), model.tables)
-                chance = class_logs(model.weights, model.bias, rows, kind)
+                chance = softmax.logs(rows, kind)
                 found = place >= 0
                 word = np.where(found, in_class[place] if len(in_class) else 0.0, 0.0 if words.least > 1 else np.log10(ALPHA))
                 share = word - per_class[kind]

@@ -60,7 +60,7 @@ def test_chances_sum_to_one(spark):
         assert np.allclose(np.bincount(kind[at], share, minlength=L.CLUSTERS)[np.unique(kind[at])], 1)
     hashes, shapes, begin = L.tokens(Chunk([0], [b"the of and the end."]))
     rows = L.features(L.before(m.placed(hashes, shapes)[3], begin), m.tables)
-    assert rows.shape == (6, 4) and np.allclose(L.class_chances(m.weights, m.bias, rows).sum(axis=1), 1, atol=1e-5)
+    assert rows.shape == (6, 4) and np.allclose(L.Softmax(m.weights, m.bias).chances(rows).sum(axis=1), 1, atol=1e-5)
 
 
 def test_residues_are_the_gradient():
@@ -68,12 +68,12 @@ def test_residues_are_the_gradient():
     rows = np.column_stack([r.integers(0, 5, 200) + 10 * j for j in range(4)])
     kind = r.integers(0, 48, 200)
     w, b = r.normal(0, 0.5, (40, 48)).astype(np.float32), np.zeros(48, np.float32)
-    expected = L.Expected(L.Model(None, None, (40,), w, b, None, None, None, None))
+    expected = L.Expected(L.Model(None, None, (10, 10, 10, 10), w, b, None, None, None, None))
     for a in (0, 70):
         expected.add(rows[a : a + 70 if not a else None])
     came = np.zeros(w.shape, dtype=np.int64)
     np.add.at(came, (rows, kind[:, None]), L.UNIT)
-    sums = came - expected.flush()
+    sums = came - expected.total()
 
     def gain(x):
         y = (x[rows].sum(axis=1) + b).astype(np.float64)
