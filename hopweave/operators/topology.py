@@ -9,8 +9,8 @@ from ..plans.storage import drop, kept
 from .distance import contracted, rooted
 
 
-def _least(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """vid, c: the smallest c that reaches each vertex along edges. One message for each edge and round."""
+def _least(start: DataFrame, edges: DataFrame) -> tuple[DataFrame, str]:
+    """vid, c: the smallest c that reaches each vertex along edges, and where it is kept. One message for each edge and round."""
     spark = start.sparkSession
     now, at = kept(start, "least")
     front, front_at = now, None
@@ -18,7 +18,8 @@ def _least(start: DataFrame, edges: DataFrame) -> DataFrame:
         met = front.join(edges, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("vid")).agg(F.min("c").alias("n"))
         new, new_at = kept(met.join(now, "vid").where("n < c").select("vid", F.col("n").alias("c")), "front")
         if new.isEmpty():
-            return now
+            drop(spark, new_at, *([front_at] if front_at else []))
+            return now, at
         merged, merged_at = kept(now.unionByName(new).groupBy("vid").agg(F.min("c").alias("c")), "least")
         drop(spark, at, *([front_at] if front_at else []))
         now, at, front, front_at = merged, merged_at, new, new_at
@@ -30,25 +31,31 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Forward and backward colouring: each vertex takes the smallest that reaches it; what reaches that one back within its
     colour is its component, which goes; first, vertices without in- or out-edges go, round by round.
     """
-    left, _ = kept(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    spark = edges.sparkSession
+    left, left_at = kept(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     found: DataFrame | None = None
     while True:
         size = None
         while (n := left.count()) != size:
             size = n
             trimmed = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            left, _ = kept(trimmed.select("src", "dst"), "edges")
+            fewer, at = kept(trimmed.select("src", "dst"), "edges")
+            drop(spark, left_at)
+            left, left_at = fewer, at
         if not size:
+            drop(spark, left_at)
             break
         vertices = left.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
-        colour = _least(vertices.select("vid", F.col("vid").alias("c")), left)
+        colour, colour_at = _least(vertices.select("vid", F.col("vid").alias("c")), left)
         inner = left.join(colour.selectExpr("vid AS src", "c AS c1"), "src").join(colour.selectExpr("vid AS dst", "c AS c2"), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("c"))
-        inner, _ = kept(inner, "inner")
-        back = _least(vertices.join(colour, "vid").select("vid", F.when(F.col("vid") == F.col("c"), F.col("c")).otherwise(F.lit(2**63 - 1)).alias("c")), inner.selectExpr("dst AS src", "src AS dst"))
+        inner, inner_at = kept(inner, "inner")
+        back, back_at = _least(vertices.join(colour, "vid").select("vid", F.when(F.col("vid") == F.col("c"), F.col("c")).otherwise(F.lit(2**63 - 1)).alias("c")), inner.selectExpr("dst AS src", "src AS dst"))
         mine, _ = kept(back.where(F.col("c") < 2**63 - 1).select("vid", F.col("c").alias("comp")), "component")
         found = mine if found is None else found.unionByName(mine)
         gone = mine.select("vid")
-        left, _ = kept(left.join(gone.selectExpr("vid AS src"), "src", "left_anti").join(gone.selectExpr("vid AS dst"), "dst", "left_anti").select("src", "dst"), "edges")
+        fewer, at = kept(left.join(gone.selectExpr("vid AS src"), "src", "left_anti").join(gone.selectExpr("vid AS dst"), "dst", "left_anti").select("src", "dst"), "edges")
+        drop(spark, left_at, colour_at, inner_at, back_at)
+        left, left_at = fewer, at
     if found is None:
         return edges.selectExpr("src AS vid", "src AS comp").limit(0)
     several = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("comp")

@@ -255,7 +255,7 @@ def test_guided_search_finds_the_same(spark):
 
 
 def test_covers_and_their_labels(spark):
-    edges, labels = random_graph(24, 24, 50)
+    edges, labels = random_graph(24, 14, 26)
     g = graph(spark, edges, labels).stored()
     hubs = {x.vid for x in cover.cover_hubs(g.edges).collect()}
     left = [(a, b) for a, b, _ in edges if a != b and a not in hubs and b not in hubs]
