@@ -5,6 +5,7 @@ import random
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from hopweave import catalog
 from hopweave.fixtures import trade_graph
@@ -254,6 +255,24 @@ def test_guided_search_finds_the_same(spark):
         assert got == {tuple(x) for x in closure(g.vertices, g.edges, 5).collect()}
 
 
+def test_guided_search_is_shared_by_the_targets_of_a_source(spark, monkeypatch):
+    # sources 0 to 9 - hub 100 - targets 200 to 239, each with an edge to a vertex of its own that no pair asks for
+    edges = [(s, 100, 1) for s in range(10)] + [(100, t, 2) for t in range(200, 240)] + [(t, t + 100, 1) for t in range(200, 240)]
+    g = graph(spark, edges)
+    v = g.vertices.select("vid", F.array(F.lit(0), F.lit(0)).alias("v"))
+    sources, targets = g.vertices.where("vid < 100").select("vid"), g.vertices.where("vid BETWEEN 200 AND 239").select("vid")
+    pairs = sources.selectExpr("vid AS src").crossJoin(targets.selectExpr("vid AS dst"))
+    rows = []
+    for name in ("kept", "kept_in_buckets"):
+        real = getattr(storage, name)
+        monkeypatch.setattr(distance, name, lambda df, name, *by, real=real: (out := real(df, name, *by), name == "guided" and rows.append(out[0].count()))[0])
+    want = {(s, t, 3) for s in range(10) for t in range(200, 240)}
+    assert {tuple(x) for x in distance.guided_distances(pairs, g.edges, v, 4).collect()} == want
+    assert {tuple(x) for x in distance.guided_to_group(sources, targets, g.edges, v, 4).collect()} == want
+    assert {tuple(x) for x in distance.guided_to_group(sources, g.vertices.where("vid >= 200"), g.edges, v, 3).collect()} == want
+    assert max(rows) == 10 + 10 + 400
+
+
 def test_covers_and_their_labels(spark):
     edges, labels = random_graph(24, 14, 26)
     g = graph(spark, edges, labels).stored()
