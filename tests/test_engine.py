@@ -273,6 +273,26 @@ def test_guided_search_is_shared_by_the_targets_of_a_source(spark, monkeypatch):
     assert max(rows) == 10 + 10 + 400
 
 
+@pytest.mark.parametrize("seed,pattern,delta", [(2, [(0, 1), (1, 2), (0, 2)], 3), (6, [(3, 1), (1, 0), (3, 0)], 5), (7, [(0, 1), (1, 2), (2, 3), (0, 2), (0, 3)], 4), (8, [(0, 1), (1, 0), (1, 2)], 3)])
+def test_searched_matches_against_backtracking(spark, seed, pattern, delta, monkeypatch):
+    edges, labels = random_graph(seed)
+    real = match._dealt
+    monkeypatch.setattr(match, "_dealt", lambda left, right, key: real(left, right, key, 3))
+    for g in (graph(spark, edges, labels), graph(spark, edges, labels).stored()):
+        assert sorted(map(tuple, match.searched_matches(g, Pattern.of(pattern, delta)).collect())) == backtrack(edges, labels, pattern, delta)
+
+
+def test_searched_matches_list_no_pairs_that_two_legs_prove(spark, monkeypatch):
+    edges = [(s, 100, 1) for s in range(40)] + [(100, t, 2) for t in range(200, 240)] + [(t, t + 100, 1) for t in range(200, 240)]
+    labels = [(v, 3) for v in range(40)] + [(100, 4)] + [(v, 0) for v in range(200, 240)] + [(v, 1) for v in range(300, 340)]
+    rows = []
+    for module, name in ((match, "kept"), (relation, "kept"), (distance, "kept"), (distance, "kept_in_buckets")):
+        real = getattr(storage, name)
+        monkeypatch.setattr(module, name, lambda df, name, *by, real=real: (out := real(df, name, *by), rows.append(out[0].count()))[0])
+    got = sorted(map(tuple, match.searched_matches(graph(spark, edges, labels), Pattern.of([(3, 4), (4, 0), (3, 0)], 3)).collect()))
+    assert got == [(t, s, 100) for t in range(200, 240) for s in range(40)] and max(rows) <= 2 * 41
+
+
 def test_covers_and_their_labels(spark):
     edges, labels = random_graph(24, 14, 26)
     g = graph(spark, edges, labels).stored()
