@@ -199,6 +199,35 @@ def reached(edges, start):
     return out
 
 
+def test_reachability_of_chains_cycles_and_joints(spark):
+    r = random.Random(31)
+    chain = [(k, k + 1) for k in range(40)]
+    cases = [
+        chain,
+        chain + [(20, 50), (50, 51), (51, 52), (52, 30), (60, 0), (61, 0)],  # joints in the middle, two ways in
+        [(1, 2), (2, 3), (3, 1)] + [(k, k + 1) for k in range(10, 30)] + [(30, 10)] + [(7, 7)],  # closed chains only
+        chain + [(40, 0), (70, 5), (8, 71), (71, 72), (72, 72), (73, 73), (73, 74)],  # a cycle with joints, loops
+        [(r.randrange(30), r.randrange(30)) for _ in range(28)],
+        [(r.randrange(60), r.randrange(60)) for _ in range(50)] + [(r.randrange(60), 100 + r.randrange(3)) for _ in range(9)],
+    ]
+    for case in cases:
+        to = {}
+        for a, b in case:
+            to.setdefault(a, []).append(b)
+        want = sorted({(a, v) for a in to for b in to[a] for v in reached(to, b)})
+        assert sorted(map(tuple, topology.reachability(spark.createDataFrame(case, "src long, dst long"), 7).collect())) == want
+    assert topology.reachability(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_reachability_writes_no_pairs_of_a_chain(spark, monkeypatch):
+    rows = []
+    for name in ("kept", "kept_in_buckets"):
+        real = getattr(storage, name)
+        monkeypatch.setattr(topology, name, lambda df, name, *by, real=real: (out := real(df, name, *by), rows.append(out[0].count()))[0], raising=False)
+    edges = spark.createDataFrame([(c * 100 + k, c * 100 + k + 1) for c in range(4) for k in range(60)], "src long, dst long")
+    assert topology.reachability(edges).count() == 4 * 61 * 60 // 2 and max(rows) <= 4 * 61
+
+
 def plain_medoids(vec, k):
     """As cluster.k_medoids without rounds: vec is {label: {vid: vector}}."""
     scatter = lambda v, salt: ((v + 1) * 2654435761 + salt * 40503) % 1000003
