@@ -76,6 +76,17 @@ def test_rows_that_repeat_are_one_member(spark, monkeypatch):
     assert sorted({(str(x.doc_id), x.n_removed) for x in got}) == [("1", 60), ("2", 60), ("3", 90), ("None", 66)] and len(got) == len(rows)
 
 
+def test_few_tables_are_written(spark, monkeypatch):
+    # each file that a task writes to a local folder makes its JVM fork three times
+    rows = [(d, "abcdefgh" * 5 + chr(97 + d % 26) * d) for d in range(40)]
+    written = []
+    real = suffix.kept
+    monkeypatch.setattr(suffix, "kept", lambda df, name, *by: written.append(name) or real(df, name, *by))
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 40, 10, 6).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 40) and "halves" in written
+    assert not {"grams", "sizes"} & set(written)
+
+
 def test_a_very_long_text(spark):
     r = random.Random(2)
     long = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=1_500_000))
