@@ -302,6 +302,44 @@ def test_guided_search_is_shared_by_the_targets_of_a_source(spark, monkeypatch):
     assert max(rows) == 10 + 10 + 400
 
 
+@pytest.mark.parametrize("seed,m,directed", [(26, 34, True), (27, 26, False)])
+def test_guided_search_by_roots_against_dijkstra(spark, seed, m, directed):
+    # sparse, so that many vertices hang from roots, and behind cycles; 100 and others are no ends of an edge
+    edges, labels = random_graph(seed, 30, m)
+    edges += [(v, v + 1, 1) for v in range(40, 46)] + [(46, 40, 1), (50, 51, 2), (51, 52, 1), (52, 50, 1)]
+    g = graph(spark, edges, labels, directed)
+    v = index.vectors(g, index.embedding(g, index.reference_sets(g, 2), 5), 4, 5)
+    pick = lambda vids: spark.createDataFrame([(x,) for x in vids], "vid long")
+    sources, targets = [*range(0, 30, 2), 42, 44, 100], [*range(0, 30, 3), 41, 42, 46, 51, 100]
+    v = v.select("vid", "v").unionByName(spark.range(101).select(F.col("id").alias("vid"), F.array(*[F.lit(6)] * 4).alias("v")).join(v, "vid", "left_anti"))
+    both = edges if directed else edges + [(b, a, w) for a, b, w in edges]
+    far = {s: dijkstra(both, s) for s in sources}
+    for limit in (0, 5):
+        got = sorted(map(tuple, distance.guided_by_roots(pick(sources), pick(targets), g.edges, v, limit, directed).collect()))
+        assert got == sorted((s, t, far[s][t]) for s in sources for t in targets if far[s].get(t, 99) <= limit)
+
+
+def test_useful_part_keeps_distances_between_its_labels(spark):
+    edges, labels = random_graph(28, 30, 80)
+    g = graph(spark, edges, labels)
+    label = dict(labels)
+    part = relation.LabelWays(g).part([(3, 0), (3, 1), (2, 2)], 4)
+    assert {tuple(x) for x in part.vertices.collect()} <= {tuple(x) for x in g.vertices.collect()}
+    near, whole = ({tuple(x) for x in closure(h.vertices, h.edges, 4).collect()} for h in (part, g))
+    wanted = lambda pairs: {(a, b, d) for a, b, d in pairs if a != b and (label[a], label[b]) in {(3, 0), (3, 1), (2, 2)}}
+    assert wanted(near) == wanted(whole)
+
+
+def test_guided_distances_writes_no_pairs(spark, monkeypatch):
+    rows = []
+    for module, name in ((catalog, "kept"), (index, "kept"), (relation, "kept"), (distance, "kept"), (distance, "kept_in_buckets")):
+        real = getattr(storage, name)
+        monkeypatch.setattr(module, name, lambda df, name, *by, real=real: (out := real(df, name, *by), rows.append(out[0].count()))[0])
+    got = catalog.QUERIES["guided_distances"](spark, "/root/testdata/sf0.01")
+    # 100 suppliers and 1,500 customers, each with an edge, and the embedding of the graph of those, in 4 dimensions at most
+    assert got.count() == got.select("src", "dst").distinct().count() == 6049 and max(rows) < 1.1 * 1600
+
+
 @pytest.mark.parametrize("seed,pattern,delta", [(2, [(0, 1), (1, 2), (0, 2)], 3), (6, [(3, 1), (1, 0), (3, 0)], 5), (7, [(0, 1), (1, 2), (2, 3), (0, 2), (0, 3)], 4), (8, [(0, 1), (1, 0), (1, 2)], 3)])
 def test_searched_matches_against_backtracking(spark, seed, pattern, delta, monkeypatch):
     edges, labels = random_graph(seed)
